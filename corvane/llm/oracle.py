@@ -8,8 +8,8 @@ QUALITY = rf"""
 WITH src AS (
   SELECT doc_id, text, row_number() OVER () AS k FROM documents
 ), base AS (
-  SELECT k, doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '{SP}'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  SELECT k, doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '{SP}'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM src
 ), w AS (
   SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM base
@@ -32,4 +32,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-ORACLES = {"op9_quality_rules": QUALITY}
+DECONTAMINATION = r"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS t
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM item WHERE len(ws) > 0)
+), doc AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), dw AS (
+  SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS t
+  FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)
+), hit AS (
+  SELECT k, i, dw.n, item_id FROM dw JOIN win ON dw.n = win.n AND dw.t = win.t
+), cov AS (
+  SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hit) GROUP BY k
+), its AS (
+  SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT k, item_id::VARCHAR AS x FROM hit) GROUP BY k
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM doc LEFT JOIN cov USING (k) LEFT JOIN its USING (k)
+"""
+
+ORACLES = {"op8_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY}
