@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.decontam import remove_contaminated
+from corvane.llm.mixing import repeat_by_copies
 from corvane.llm.quality import quality_filter
+from corvane.llm.queries import vocabulary
 from corvane.llm.scratch import store
+from corvane.llm.simhash import keep_one
 from corvane.llm.tables import table
+from corvane.llm.token_files import token_digest
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +21,34 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", stage_quality)]
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return repeat_by_copies(docs)
+
+
+def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the written token files hold of each document."""
+    found = token_digest(docs, vocabulary())
+    return found.withColumnRenamed("id", "doc_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", stage_quality),
+    ("near_dedup", stage_near_dedup),
+    ("decontaminate", stage_decontaminate),
+    ("mix", stage_mix),
+    ("tokens", stage_tokens),
+]
 
 #: Component search, random rounding and byte files have no SQL form; tests compare with brute force.
 ORACLE_SQL = None

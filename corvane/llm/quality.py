@@ -13,7 +13,7 @@ columns pass through :func:`quality_filter` untouched.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,16 +54,25 @@ def repeat_words(ws: Column) -> Column:
     union of their three-word spans. Linear memory and n log n time for a text
     of any length.
     """
+    return let(ws, _repeat_words)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside nested lambdas the optimizer would repeat it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(ws: Column) -> Column:
     n = F.size(ws)
     hashes = F.slice(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))), F.lit(1), n - 2)
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.get(F.transform(F.array(pairs), spans), F.lit(0))
+        return let(pairs, spans)
 
     def spans(s: Column) -> Column:
         starts = F.sort_array(F.array_compact(F.transform(s, lambda e, i: F.when((e["h"] == F.get(s, i - 1)["h"]) | (e["h"] == F.get(s, i + 1)["h"]), e["i"]))))
-        return F.get(F.transform(F.array(starts), total), F.lit(0))
+        return let(starts, total)
 
     def total(p: Column) -> Column:
         gaps = F.zip_with(F.slice(p, F.lit(2), F.size(p) - 1), F.slice(p, F.lit(1), F.size(p) - 1), lambda b, a: F.least(b - a, F.lit(3)))
@@ -72,7 +81,7 @@ def repeat_words(ws: Column) -> Column:
     def once(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
 
-    return F.when(n < 4, F.lit(0)).otherwise(F.get(F.transform(F.array(hashes), once), F.lit(0))).cast("long")
+    return F.when(n < 4, F.lit(0)).otherwise(let(hashes, once)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -86,9 +95,8 @@ class Rule:
 BASE = ("too_few_words", "repeated_windows")
 
 
-def default_rules(text: str = "text", ws: str = "_words") -> list[Rule]:
-    """Base rules and conservative verdict rules. ``ws`` names the array of words."""
-    t, w = F.col(text), F.col(ws)
+def default_rules(t: Column, w: Column) -> list[Rule]:
+    """Base rules and conservative verdict rules for a text and the array of its words."""
     n = F.size(w)
     letters = F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))
     return [
@@ -101,8 +109,8 @@ def default_rules(text: str = "text", ws: str = "_words") -> list[Rule]:
     ]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 500, seed: int = 7) -> list[Rule]:
-    """``rules`` by falling rejection per cost on at most ``sample_rows`` documents.
+def order_rules(docs: DataFrame, rules: Callable[[Column, Column], Sequence[Rule]] = default_rules, text: str = "text", sample_rows: int = 500, seed: int = 7) -> list[str]:
+    """Names of ``rules`` by falling rejection per cost on at most ``sample_rows`` documents.
 
     The sample only sets the order of evaluation, never a verdict. It is drawn
     by a Bernoulli sample of the table and cut to ``sample_rows``; each rule is
@@ -112,11 +120,11 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", samp
     try:
         total = max(sample.count(), 1)
         scored = []
-        for k, rule in enumerate(rules):
+        for k, rule in enumerate(rules(F.col(text), F.col("_words"))):
             began = time.perf_counter()
             rejected = sample.agg(F.count_if(F.coalesce(rule.reject, F.lit(False)))).first()[0]
             cost = max(time.perf_counter() - began, 1e-6)
-            scored.append((-(rejected + 0.5) / total / cost, k, rule))
+            scored.append((-(rejected + 0.5) / total / cost, k, rule.name))
         return [r for _, _, r in sorted(scored, key=lambda x: x[:2])]
     finally:
         sample.unpersist()
@@ -133,14 +141,16 @@ def verdict(rules: Sequence[Rule]) -> Column:
 
 def quality_filter(docs: DataFrame, text: str = "text", sample_rows: int = 500) -> DataFrame:
     """The rows of ``docs`` that every rule lets through, columns unchanged."""
-    rules = order_rules(docs, default_rules(text), text, sample_rows)
-    return docs.withColumn("_words", words(F.col(text))).filter(verdict(rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = order_rules(docs, text=text, sample_rows=sample_rows)
+    t = F.col(text)
+    return docs.filter(let(words(t), lambda w: verdict(sorted(default_rules(t, w), key=lambda r: order.index(r.name)))))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_rows: int = 500) -> DataFrame:
     """Per document the base measures, ``base_failed`` and the cascade's verdict ``kept``."""
-    own = [r for r in order_rules(docs, default_rules(text), text, sample_rows) if r.name not in BASE]
+    order = order_rules(docs, text=text, sample_rows=sample_rows)
     t, w = F.col(text), F.col("_words")
+    own = sorted((r for r in default_rules(t, w) if r.name not in BASE), key=lambda r: order.index(r.name))
     wide = docs.select(F.col(id_col), t, words(t).alias("_words")).select(
         F.col(id_col), t, w,
         F.size(w).cast("long").alias("n_words"), word_chars(t).alias("word_chars"), symbol_count(t).alias("n_symbols"),

@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 from corvane.llm import oracle
 from corvane.llm.decontam import benchmark_hits, contaminated
+from corvane.llm.mixing import mix
 from corvane.llm.quality import quality_report
 from corvane.llm.simhash import fingerprint_hex, near_duplicates
 from corvane.llm.tables import table
+from corvane.llm.token_files import token_digest
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; any other path does as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +28,16 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_digest(table(spark, sf_dir, "documents"), vocabulary())
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
