@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm import oracle
 from corvane.llm.decontam import benchmark_hits, contaminated
+from corvane.llm.langid import fold_of, identify, train
 from corvane.llm.mixing import mix
 from corvane.llm.quality import quality_report
 from corvane.llm.simhash import fingerprint_hex, near_duplicates
 from corvane.llm.tables import table
+from corvane.llm.token_counts import section_tokens
 from corvane.llm.token_files import token_digest
 
 
@@ -23,11 +25,22 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(fold_of(F.col("doc_id")) != 0))
+    held = F.coalesce(fold_of(F.col("id")) == 0, F.lit(False))
+    return identify(docs.select("doc_id", "text"), model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_digest(table(spark, sf_dir, "documents"), vocabulary())
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
