@@ -13,6 +13,7 @@ from corvane.llm.langid import fold_of, identify, train
 from corvane.llm.mixing import mix
 from corvane.llm.quality import quality_report
 from corvane.llm.simhash import fingerprint_hex, near_duplicates
+from corvane.llm.suffix_dedup import dedup
 from corvane.llm.tables import table
 from corvane.llm.token_counts import section_tokens
 from corvane.llm.token_files import token_digest
@@ -63,6 +64,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
