@@ -13,6 +13,11 @@ import re
 import numpy as np
 
 SPACES = "\t-\r \x85\xa0  -     　"
+#: One word of letters that every version of the pattern knows, alone or with one stop after it: such a piece is one
+#: or two units of the pattern, and a unit needs the merges only.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+UNIT = re.compile(f" ?[{LETTERS}]+")
+STOPPED = re.compile(f"( ?[{LETTERS}]+)([.,])")
 PIECE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
@@ -24,6 +29,9 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = Tokenizer(self.tokenizer.model)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.room, self.room_chars, self.longest = room, room_chars, longest
         self.clear()
 
@@ -34,8 +42,32 @@ class PieceEncoder:
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
 
+    def _units(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of single units: the merges over their bytes in the vocabulary's letters."""
+        shown = [p.encode().decode("latin-1").translate(self.shown) for p in pieces]
+        return [e.ids for e in self.merges.encode_batch_fast(shown, add_special_tokens=False)]
+
+    def _whole(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Encode new pieces: units by the merges, a unit and a stop from its parts, all else by the whole tokenizer."""
+        pieces = [p for p in pieces if p not in self.number]  # stems of earlier ones may be among them
+        stopped = {p: m.groups() for p in pieces if (m := STOPPED.fullmatch(p))}
+        stems = {a for a, _ in stopped.values()}
+        units = list(dict.fromkeys([p for p in pieces if UNIT.fullmatch(p)] + [a for a in stems if a not in self.number]))
+        self._keep(units, self._units(units))
+        other = [p for p in pieces if p not in stopped and p not in self.number]
+        self._keep(other, self._whole(other))
+        if stopped:
+            stop = {x: self._whole([x])[0] for x in {b for _, b in stopped.values()}}
+            self._keep(list(stopped), [self.ids(a) + stop[b] for a, b in stopped.values()])
+
+    def ids(self, piece: str) -> list[int]:
+        k = self.number[piece]
+        return self.flat[self.begin[k] : self.begin[k] + self.size[k]].tolist()
+
+    def _keep(self, pieces: list[str], found: list[list[int]]) -> None:
         n, k = len(self.number), sum(map(len, found))
         while self.used + k > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
