@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm import oracle
 from corvane.llm.decontam import benchmark_hits, contaminated
+from corvane.llm.html_extract import extract
 from corvane.llm.langid import fold_of, identify, train
+from corvane.llm.lm_score import score_corpus
 from corvane.llm.mixing import mix
 from corvane.llm.quality import quality_report
 from corvane.llm.simhash import fingerprint_hex, near_duplicates
@@ -42,11 +44,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_digest(table(spark, sf_dir, "documents"), vocabulary())
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("learn", ~held)
+    found = score_corpus(docs, "learn").withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
