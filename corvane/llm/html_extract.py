@@ -213,7 +213,7 @@ class Page:
         names = sorted({re.sub(r"\d+", "0", x) for x in f"{given.get('class', '')} {given.get('id', '')}".split()}) if given else []
         label = ".".join([tag, *names])
         path = self.path_of(top, label)
-        if path in self.cut:
+        if path in self.cut and tag not in ("html", "body", "main", "article"):
             noise = 2
         new = Element(tag, path, top.depth + 1, noise, zone, top.path)
         self.stack.append(new)
@@ -366,7 +366,7 @@ def low_branches(tree: DataFrame, threshold: float = 0.4, least_pages: int = 4,
         def one(host: str, rows: list[dict]) -> pa.RecordBatch:
             col = {c: np.array([r[c] if r[c] is not None else np.nan for r in rows], t) for c, t in (("parent", np.int64), ("path", np.int64), ("depth", np.int64), ("pages", float), ("presentation", float), ("content", float))}
             _, most = composite(col["parent"], col["path"], col["depth"], col["pages"], col["presentation"], col["content"], gamma)
-            noisy = (most < threshold) & (col["pages"] >= least_pages) & (col["depth"] > 1)
+            noisy = (most < threshold) & (col["pages"] >= least_pages) & (col["depth"] > 0)
             return pa.record_batch([pa.array([host]), pa.array([col["path"][noisy].tolist()], pa.list_(pa.int64()))], names=["host", "cut"])
 
         held: list[dict] = []
