@@ -407,12 +407,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             lost = ~own
             yield out_rows(by_chunk(meta["place"][lost] + rows[lost, w], meta["place"][lost] + rows[lost, w + 1] + length), [])
             meta, rows = meta[own], rows[own]
-            # a context alone with its anchor can repeat only within itself
+            # equal windows elect anchors at equal distances, so those of one context, which share one, all differ
             order = np.argsort(meta["h"], kind="stable")
             meta, rows = meta[order], rows[order]
             cut = np.flatnonzero(np.r_[True, meta["h"][1:] != meta["h"][:-1]])
             size = np.diff(np.r_[cut, len(meta)])
-            several = np.repeat((size > 1) | (meta["salts"][cut] > 1), size) | (rows[:, w + 1] - rows[:, w] > 0)
+            several = np.repeat((size > 1) | (meta["salts"][cut] > 1), size)
             meta, rows = meta[several], rows[several]
             begin = 0
             while begin < len(meta):
