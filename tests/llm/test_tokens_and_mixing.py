@@ -37,6 +37,15 @@ def test_odd_texts(library):
     check_encoding(ODD, library)
 
 
+def test_pieces_are_forgotten_when_there_are_too_many(library):
+    enc = PieceEncoder(PATH, room=40)
+    for _ in range(3):
+        for k in range(0, len(ODD), 3):
+            for t, ids in zip(ODD[k : k + 3], enc.encode(ODD[k : k + 3]), strict=True):
+                assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(enc.number) < 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" .,\n'sabcéñ19\t ")), max_size=60), max_size=6))
 def test_encoding_equals_the_library(library, texts):
