@@ -38,22 +38,27 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "id", ord
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark on ``ts``; a time without zone is taken as the session's. Finished tables need none."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, size: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events and their summed value by tumbling or sliding window and type; rows later than ``late`` are dropped by a stream."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    held = events.withWatermark("ts", late) if events.isStreaming else events
+    held = watermarked(events, late)
     return held.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "events", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: runs of events less than ``gap`` apart."""
-    held = events.withWatermark("ts", late) if events.isStreaming else events
+    held = watermarked(events, late)
     return held.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """The first event of each key within the watermark; of a finished table, of each key."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return watermarked(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def fold_traces(events: DataFrame, idle_ms: int = 600_000) -> DataFrame:

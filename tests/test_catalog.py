@@ -54,13 +54,15 @@ def test_streaming_ingest(spark, tmp_path):
     for n, rows in enumerate(['{"id":"a","v":1,"line_no":1}\n{"id":"b","v":1,"line_no":2}', '{"id":"a","v":2,"line_no":3}']):
         (src / f"{n}.json").write_text(rows)
         stream = pipelines.read_json(spark, f"file://{src}", "id string, v int, line_no long")
-        pipelines.ingest(stream, target, f"{tmp_path}/cp").awaitTermination()
+        pipelines.ingest(stream, target, f"{tmp_path}/cp").awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("a", 2), ("b", 1)]
 
 
 def run(df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(once=True).start()  # a state with a timeout never runs out of batches
+    done = q.awaitTermination(120)
+    q.stop()
+    assert done
     return df.sparkSession.table(name)
 
 
