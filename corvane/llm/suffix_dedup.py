@@ -355,7 +355,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 shard, meta, kept = shard[order], meta[order], kept[order]
                 cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
                 for x, y in zip(cut, np.r_[cut[1:], len(shard)], strict=True):
-                    yield pa.record_batch([pa.array([shard[x]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([b""], pa.binary()), pa.array([meta[x:y].tobytes()], pa.binary()), pa.array([kept[x:y].tobytes()], pa.binary())], names=["shard", "chunk", "spans", "meta", "ctx"])
+                    yield pa.record_batch([pa.array([shard[x]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([b""], pa.binary()), pa.array([meta[x:y].tobytes()], pa.binary()), pa.array([pa.compress(kept[x:y].tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["shard", "chunk", "spans", "meta", "ctx"])
         return
 
     listed = back.groupBy("chunk").agg(F.collect_list(F.struct("h", "n")).alias("back"))
@@ -399,7 +399,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _grouped(batches, "shard"):
             meta = np.concatenate([np.frombuffer(r["meta"], [("h", "<u8"), ("place", "<i8"), ("salts", "<i4")]) for r in found])
-            rows = np.concatenate([np.frombuffer(r["ctx"], np.uint8).reshape(-1, w + 2) for r in found])
+            rows = np.empty((len(meta), w + 2), np.uint8)
+            at = 0
+            for r in found:
+                n = len(r["meta"]) // meta.itemsize
+                rows[at : at + n] = np.frombuffer(pa.decompress(r.pop("ctx"), decompressed_size=n * (w + 2), codec="zstd", asbytes=True), np.uint8).reshape(n, w + 2)
+                at += n
             del found
             order = np.argsort(meta["place"], kind="stable")
             meta, rows = meta[order], rows[order]
