@@ -433,6 +433,16 @@ def cnv17_quality_score(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", text.quality(F.col("text")).alias("q")).select("doc_id", "q.char_count", F.round("q.meaningful_ratio", 6).alias("meaningful_ratio"), "q.verdict")
 
 
+def sql_glyphs(kind: str) -> str:
+    return f"len(regexp_extract_all(text, '[{text.GLYPHS[kind]}]'))"
+
+
+@register(f"""WITH n AS (SELECT doc_id, length(text) AS size, {", ".join(f"{sql_glyphs(k)} AS {k}" for k in text.GLYPHS)} FROM documents)
+SELECT doc_id, coalesce(size >= 3 AND (control > normal OR private >= 1 OR arabic >= 2 AND extended >= 2 OR odd >= 3 OR odd * 5 > size OR extended * 10 > size * 3 AND letters * 5 < size OR (arabic >= 1 OR odd >= 1) AND extended >= 3), false) AS garbled FROM n""")
+def cnv09_garbled(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", text.garbled(F.col("text")).alias("garbled"))
+
+
 @register("""SELECT document_id, chunk_index, page_number FROM (
   SELECT c.document_id, c.chunk_index, p.page AS page_number, row_number() OVER (PARTITION BY c.document_id, c.chunk_index ORDER BY least(c.e, p.e) - greatest(c.s, p.s) DESC, p.page) AS k
   FROM (SELECT doc_id AS document_id, unnest(range(0, greatest(length(text), 1), 700)) AS s, s // 700 AS chunk_index, least(s + 1000, length(text)) AS e FROM documents WHERE length(text) > 0) c
@@ -531,7 +541,7 @@ def prj06_document_ids(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", identity.document_id(F.lit("acme"), F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string")).alias("document_id"))
 
 
-@register("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, nullif(trim(string_split(p_brand || ' > ' || p_type, '>')[-1]), '') AS section FROM part")
+@register("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(p_name || ' ' || p_type)), '[^a-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '_') AS slug, nullif(trim(string_split(p_brand || ' > ' || p_type, '>')[-1]), '') AS section FROM part")
 def prj09_slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"), text.last_section(F.concat_ws(" > ", "p_brand", "p_type")).alias("section"))
 
@@ -705,7 +715,7 @@ def agg11_split_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT user_id AS search_id, arg_max(value, event_id) FILTER (event_type = 'purchase') AS duration_ms, coalesce(bool_or(event_type = 'purchase'), false) AS completed, count(*) AS events, count(*) FILTER (event_type = 'click') AS stages FROM events GROUP BY user_id")
 def agg10_search_summary(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "purchase", "search.completed").when(F.col("event_type") == "click", "search.stage_completed").otherwise("search.started")
+    kind = F.when(F.col("event_type") == "purchase", "search.completed").when(F.col("event_type") == "click", "search.stage.completed").otherwise("search.started")
     none = lambda t: F.lit(None).cast(t)
     e = table(spark, d, "events").select(F.col("user_id").alias("search_id"), F.col("event_id").alias("seq"), kind.alias("event_type"), F.lit("s").alias("stage"), none("boolean").alias("succeeded"), none("boolean").alias("attempted_rerank"), none("boolean").alias("applied_rerank"), none("string").alias("error_type"), F.col("value").alias("duration_ms"), none("int").alias("result_count"))
     return traces.search_summary(e).select("search_id", "duration_ms", "completed", "events", F.size("stages").cast("long").alias("stages"))
@@ -745,6 +755,20 @@ def set03_missing(spark: SparkSession, d: str) -> DataFrame:
     return have.select("o_custkey", F.size(F.array_except(F.array(F.lit("F"), F.lit("O"), F.lit("P")), "l")).cast("long").alias("missing"))
 
 
+SQL_CODE = r"""len(list_filter(string_split(left(text, 5000), chr(10)), lambda x: regexp_matches(trim(x), '^(def |class |function |import |from |const |let |var |fn |interface |module |resource )')))"""
+
+
+@register(f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'xlsx' WHEN doc_id % 5 = 1 OR coalesce({SQL_CODE} > 0.1 * len(string_split(left(text, 5000), chr(10))), false) THEN 'code' ELSE 'markdown' END AS strategy FROM documents")
+def chk01_route(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("f."), F.when(F.col("doc_id") % 5 == 0, "xlsx").when(F.col("doc_id") % 5 == 1, "py").otherwise("md"))
+    return documents(spark, d).select("doc_id", chunking.route(F.lit("text/plain"), name, F.col("text")).alias("strategy"))
+
+
+@register("SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'purchase')")
+def agg17_audit(spark: SparkSession, d: str) -> DataFrame:
+    return traces.audit(table(spark, d, "events").select("event_id", "event_type"), ("view", "purchase"))
+
+
 # --- streaming operators in batch form --------------------------------------------------------------------------------
 
 

@@ -84,9 +84,16 @@ def collection_rollup(entries: DataFrame) -> DataFrame:
     return entries.groupBy("namespace", "collection").agg(F.count(F.lit(1)).alias("documents"), F.sum("chunk_count").alias("chunks"), F.array_sort(F.collect_set("parser")).alias("parsers"))
 
 
-def safe_metadata(metadata: Column, unsafe: tuple[str, ...] = ("content", "text", "embedding", "vector", "token", "secret", "password", "api_key")) -> Column:
-    """A string map without keys that may carry content or secrets."""
-    return F.map_filter(metadata, lambda k, v: ~F.lower(k).isin(*unsafe))
+# Metadata keys that may carry a provider's messages.
+UNSAFE_METADATA = (
+    "converter_error", "error", "error_message", "exception", "exception_message", "parse_error", "parser_error",
+    "provider_error", "quality_details", "raw_error", "stack_trace", "stacktrace", "traceback",
+)
+
+
+def safe_metadata(metadata: Column) -> Column:
+    """A string map without keys that are not for a manifest."""
+    return F.map_filter(metadata, lambda k, v: ~k.isin(*UNSAFE_METADATA))
 
 
 def page_indices(pages: Column, most: int = 400) -> Column:

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Event types that an audit keeps.
+# Event types that an audit keeps.
 AUDIT_EVENTS = (
-    "ingest.started", "ingest.completed", "ingest.failed", "document.deleted", "collection.deleted",
-    "search.started", "search.completed", "rerank.applied", "stage.error",
+    "ingest.started", "ingest.completed", "index.upserted", "index.deleted", "search.started",
+    "search.completed", "fetch.started", "fetch.completed", "fetch.failed",
 )
 
 
@@ -29,7 +29,7 @@ def search_summary(events: DataFrame) -> DataFrame:
     """
     last = lambda c, kind: F.max_by(F.when(F.col("event_type") == kind, F.col(c)), F.when(F.col("event_type") == kind, F.col("seq")))
     errors = F.array_sort(F.collect_list(F.when(F.col("event_type") == "stage.error", F.struct("seq", "stage", "error_type"))))
-    stages = F.array_sort(F.collect_list(F.when(F.col("event_type") == "search.stage_completed", F.struct("seq", "stage", "duration_ms"))))
+    stages = F.array_sort(F.collect_list(F.when(F.col("event_type") == "search.stage.completed", F.struct("seq", "stage", "duration_ms"))))
     out = events.groupBy("search_id").agg(
         last("result_count", "search.completed").alias("result_count"), last("succeeded", "search.completed").alias("succeeded"), last("duration_ms", "search.completed").alias("duration_ms"),
         F.bool_or(F.coalesce("attempted_rerank", F.lit(False))).alias("attempted_rerank"), F.bool_or(F.coalesce("applied_rerank", F.lit(False))).alias("applied_rerank"),

@@ -61,7 +61,12 @@ def test_url_rules(spark):
     assert one(spark, "https://e.com/a?k=secret", urls.redacted) == "https://e.com/a?[redacted]"
 
 
+@pytest.mark.parametrize(("value", "want"), [(None, False), ("ab", False), ("plain text", False), ("a\ue000bc", True), ("\u0101\u0102\u0103abcd\u0301", True), ("\x01\x02\x03a", True), ("caf\u00e9 na\u00efve", False)])
+def test_garbled(spark, value, want):
+    assert one(spark, value, text.garbled) is want
+
+
 def test_slug_and_sections(spark):
-    assert one(spark, " My  Docs-2024! ", text.slug) == "my_docs_2024"
+    assert one(spark, " My  Docs-2024! ", text.slug) == "my_docs-2024"
     assert one(spark, "A > B > C ", text.last_section) == "C" and one(spark, "", text.last_section) is None
     assert one(spark, "Héllo,  WORLD!", text.lexical_form) == "héllo world"
