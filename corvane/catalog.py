@@ -769,6 +769,66 @@ def agg17_audit(spark: SparkSession, d: str) -> DataFrame:
     return traces.audit(table(spark, d, "events").select("event_id", "event_type"), ("view", "purchase"))
 
 
+# --- smaller projections, lookups and checks --------------------------------------------------------------------------
+
+
+@register("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' WHEN 3 THEN NULL WHEN 4 THEN 'code' ELSE 'text' END AS format FROM documents")
+def src19_formats(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 6
+    name = F.concat(F.lit("f."), F.when(k == 0, "CSV").when(k == 3, "doc").when(k == 4, "py").otherwise("bin"))
+    mime = F.when(k == 1, "text/html").when(k == 2, "application/pdf").when(k == 4, "text/plain")
+    return documents(spark, d).select("doc_id", convert.format_of(mime, name).alias("format"))
+
+
+@register("SELECT doc_id AS document_id, p AS page, CASE WHEN doc_id % 6 = 0 AND p > 1 THEN 'ocr' ELSE 'base' END AS text FROM documents, (VALUES (1), (2), (3)) AS v(p) WHERE p < 3 OR doc_id % 6 = 0")
+def cnv16_merge_ocr(spark: SparkSession, d: str) -> DataFrame:
+    base = documents(spark, d).select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), F.lit("base").alias("text"))
+    ocr = documents(spark, d).filter("doc_id % 6 = 0").select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit(2), F.lit(3))).alias("page"), F.lit("ocr").alias("text"))
+    return convert.merge_ocr(base, ocr)
+
+
+@register("SELECT conv_id, turn, CASE WHEN length(b || t || a) + 4 <= 200 THEN b || chr(10) || chr(10) || t || chr(10) || chr(10) || a ELSE NULL END AS whole FROM (SELECT conv_id, turn, 'before' AS b, coalesce(nullif(text, ''), 'x') AS t, 'after' AS a FROM conversations)")
+def ctx04_expanded_text(spark: SparkSession, d: str) -> DataFrame:
+    t = F.coalesce(F.nullif("text", F.lit("")), F.lit("x"))
+    out = assemble.expanded_text(F.lit("before"), t, F.lit("after"), F.lit(200))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.length(t) + 15 <= 200, out).alias("whole"))
+
+
+@register("SELECT doc_id AS id FROM documents WHERE NOT coalesce(source = (SELECT min(source) FROM documents), false)")
+def idx07_delete_collection(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), F.lit("acme").alias("namespace"), F.col("source").alias("collection"), F.col("doc_id").alias("document_id"))
+    least = docs.agg(F.min("collection")).first()[0]
+    return docs.filter(~filters.DeleteRequest("acme", least).column()).select("id")
+
+
+@register("SELECT doc_id, cardinality(map_keys(map {'source': 'x', 'Keep': 'y'})) AS n FROM documents")
+def idx18_safe_metadata(spark: SparkSession, d: str) -> DataFrame:
+    meta = F.create_map(F.lit("source"), F.lit("x"), F.lit("Keep"), F.lit("y"), F.lit("traceback"), F.lit("z"))
+    return documents(spark, d).select("doc_id", F.size(lifecycle.safe_metadata(meta)).cast("long").alias("n"))
+
+
+@register("SELECT conv_id, turn, contains(lower(coalesce(text, '')), 'the') AS contains_all, (contains(lower(coalesce(text, '')), 'de'))::INT::BIGINT AS leaks, turn >= 1 AS enough_citations, length(coalesce(text, '')) <= 120 AS within_budget FROM conversations")
+def agg05_context_checks(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("case_id"), F.coalesce("text", F.lit("")).alias("text"), F.array(F.lit("THE")).alias("expected"), F.array(F.lit("De")).alias("forbidden"), F.col("turn").alias("citations"), F.lit(1).alias("min_citations"), F.lit(120).alias("max_chars"))
+    return evals.context_checks(c).select("case_id.conv_id", "case_id.turn", "contains_all", F.col("leaks").cast("long").alias("leaks"), "enough_citations", "within_budget")
+
+
+@register("SELECT count(*) FILTER (event_id % 3 <> 0) AS correlated, count(*) FILTER (event_id % 3 = 0) AS uncorrelated, true AS mixed FROM events")
+def agg12_mixed_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return traces.mixed_correlation(table(spark, d, "events").select(F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("search_id")))
+
+
+@register(f"WITH {sql_dense(10)}, {sql_label(10)} SELECT qid, id, max(score) AS score FROM (SELECT qid, id, score FROM dense UNION ALL SELECT qid, id, score FROM lab) GROUP BY ALL")
+def set01_union_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.union_channels([dense_hits(spark, d, 10), label_hits(spark, d, 10)]).groupBy("qid", "id").agg(F.max("score").alias("score"))
+
+
+@register("SELECT o_custkey FROM (SELECT o_custkey, list(DISTINCT o_orderstatus) AS l FROM orders GROUP BY ALL) WHERE list_has_all(['F', 'O'], l)")
+def set02_subset(spark: SparkSession, d: str) -> DataFrame:
+    have = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("l"))
+    return have.filter(F.size(F.array_except("l", F.array(F.lit("F"), F.lit("O")))) == 0).select("o_custkey")
+
+
 # --- streaming operators in batch form --------------------------------------------------------------------------------
 
 
