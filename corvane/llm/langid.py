@@ -37,22 +37,46 @@ RANGES = [
 _FIRST = np.array([a for a, _ in RANGES])
 
 
-def script(word: str) -> str:
-    k = int(np.searchsorted(_FIRST, ord(word[0]), "right")) - 1
-    return RANGES[k][1] if k >= 0 else ""
-
-
-def grams(word: str, slots: int) -> list[int]:
-    """Slots of the n-grams (1 to 4 characters and the whole word) of a word with its ends marked."""
-    from xxhash import xxh32_intdigest
-
-    w = f"^{word}$"
-    found = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return [xxh32_intdigest(g) % slots for g in (*found, "=" + word)]
+_SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Number of the range of each word's first character; 0 below all ranges."""
+    return np.searchsorted(_FIRST, np.fromiter((ord(w[0]) for w in words), np.int64, len(words)), "right")
+
+
+def _slots(h: np.ndarray, slots: int) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h = h * _SEEDS[1]
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(slots)).astype(np.int64)
+
+
+def grams(words: list[str], slots: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots of the n-grams (1 to 4 characters and the whole word) of words with their ends marked.
+
+    One pair for each kind: slots word after word, and how many each word has.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    stop = np.cumsum(size)
+    left = np.repeat(stop, size) - np.arange(len(codes))  # characters from here to the word's end
+    out, h = [], np.zeros(len(codes), np.uint64)
+    for n in range(1, 5):
+        h = h[: len(codes) - n + 1] * _SEEDS[0] + codes[n - 1 :] * _SEEDS[n]
+        use = left[: len(h)] >= n
+        out.append((_slots(h[use], slots), np.maximum(size - n + 1, 0)))
+    place = np.arange(len(codes)) - np.repeat(stop - size, size)
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max()), _SEEDS[3])]) if len(words) else np.zeros(0, np.uint64)
+    whole = np.add.reduceat(codes * powers[place], stop - size) if len(words) else np.zeros(0, np.uint64)
+    out.append((_slots(whole * _SEEDS[2], slots), np.ones(len(words), np.int64)))
+    return out
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in WORD.findall(unicodedata.normalize("NFC", text).lower()) if any(c.isalpha() for c in w)] if text else []
+    if not text:
+        return []
+    found = WORD.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+    return [w for w in found if w.isalpha() or any(c.isalpha() for c in w)]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = 1 << 15, max_languages: int = 256, room: int = 200_000) -> dict:
@@ -65,10 +89,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
 
         def flush() -> None:
             for code, counted in seen.items():
-                for word, n in counted.items():
-                    np.add.at(total[code], grams(word, slots), n)
-                    total[code][slots] += n
-                    scripts[code, script(word)] += n
+                names, times = list(counted), np.fromiter(counted.values(), np.int64, len(counted))
+                for at in range(0, len(names), 1 << 14):
+                    part, n = names[at : at + (1 << 14)], times[at : at + (1 << 14)]
+                    for found, per in grams(part, slots):
+                        np.add.at(total[code], found, np.repeat(n, per))
+                    total[code][slots] += int(n.sum())
+                    for s, k in zip(scripts_of(part).tolist(), n.tolist(), strict=True):
+                        scripts[code, RANGES[s - 1][1] if s else ""] += k
             seen.clear()
 
         for batch in batches:
@@ -101,36 +129,64 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
     return {"codes": codes, "logp": logp, "scripts": use, "slots": slots}
 
 
-class Scorer:
-    """Scores of words, kept while there is room."""
+class Scorer(dict):
+    """Words to rows of ``table``; scores are kept while there is room."""
 
     def __init__(self, model: dict, room: int = 300_000):
-        self.model, self.room, self.number = model, room, {}
-        self.rows: list[np.ndarray] = []
-
-    def score(self, word: str) -> np.ndarray:
-        m = self.model
-        at = grams(word, m["slots"])
-        row = m["logp"][at].mean(axis=0) * min(len(word), 8)
-        may = m["scripts"].get(script(word))
-        return row if may is None or may.all() else np.where(may, row, row.min() - 50.0).astype(np.float32)
+        self.model, self.room, self.fresh = model, room, []
+        k = len(model["codes"])
+        self.may = np.array([model["scripts"].get(name, np.ones(k, bool)) for _, name in [(0, ""), *RANGES]]).reshape(len(RANGES) + 1, k)
+        self.table = np.zeros((0, k), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+    def score(self, words: list[str]) -> np.ndarray:
+        logp = self.model["logp"]
+        sums, count = np.zeros((len(words), logp.shape[1]), np.float64), np.zeros(len(words), np.int64)
+        for found, per in grams(words, self.model["slots"]):
+            has = np.flatnonzero(per)
+            if len(has):
+                sums[has] += np.add.reduceat(logp[found], (np.cumsum(per) - per)[has], axis=0)
+                count += per
+        rows = sums / count[:, None] * np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 8)[:, None]
+        return np.where(self.may[scripts_of(words)], rows, rows.min(axis=1, keepdims=True) - 50.0).astype(np.float32)
 
     def lookup(self, words: list[str]) -> np.ndarray:
-        out = []
-        for w in words:
-            k = self.number.get(w)
-            if k is None:
-                k = self.number[w] = len(self.rows)
-                self.rows.append(self.score(w))
-            out.append(k)
-        return np.array(out, np.int64)
-
-    def table(self) -> np.ndarray:
-        return np.array(self.rows, np.float32).reshape(len(self.rows), len(self.model["codes"]))
-
-    def trim(self) -> None:
-        if len(self.rows) > self.room:
-            self.number, self.rows = {}, []
+        """Rows of the words' scores in ``table``."""
+        if len(self) > self.room:
+            self.clear()
+            self.table = self.table[:0]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        fresh, self.fresh = self.fresh, []
+        if fresh:
+            self.table = np.concatenate([self.table, *[self.score(fresh[k : k + 4096]) for k in range(0, len(fresh), 4096)]])
+        return at
+
+
+def one_language(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
+    """Label of each text that has one best label throughout; -1 where the best path may switch.
+
+    Each stretch of another label gains at most the highest sum that any stretch has
+    over the text's best label. A path of j such stretches, j > 1 if it never has that
+    label, pays j - 1 switches at least and j if it has: with all sums below half the
+    penalty the best label alone is best.
+    """
+    first = np.cumsum(lengths) - lengths
+    label = np.add.reduceat(scores, first, axis=0, dtype=np.float64).argmax(axis=1)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    own = scores[np.arange(len(scores)), label[text]].astype(np.float64)
+    best = np.zeros(len(lengths))
+    apart = 1e5 * (1 + float(np.abs(scores).max()))  # more than a stretch can sum to in 1e5 words; see below
+    for k in range(scores.shape[1]):
+        c = np.cumsum(scores[:, k] - own)
+        before = np.r_[0.0, c[:-1]]
+        base = before - before[first][text] - apart * text
+        low = np.minimum.accumulate(base) + apart * text
+        best = np.maximum(best, np.maximum.reduceat(c - before[first][text] - low, first))
+    return np.where((best < switch / 2 - 1e-3) & (lengths < 100_000), label, -1)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -174,10 +230,14 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "
             order = [k for k in sorted(range(len(part)), key=lambda k: -len(part[k])) if part[k]]
             if not order or not codes:
                 return out
-            scorer.trim()
             flat = scorer.lookup([w for k in order for w in part[k]])
             sizes = np.array([len(part[k]) for k in order], np.int64)
-            labels = viterbi(scorer.table()[flat], sizes, switch)
+            scores = scorer.table[flat]
+            alone = one_language(scores, sizes, switch)
+            labels = np.repeat(alone, sizes)
+            mixed = labels < 0
+            if mixed.any():
+                labels[mixed] = viterbi(scores[mixed], sizes[alone < 0], switch)
             letters = np.array([len(w) for k in order for w in part[k]], np.int64)
             at = 0
             for k, n in zip(order, sizes.tolist(), strict=True):
