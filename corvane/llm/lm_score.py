@@ -47,6 +47,17 @@ def pieces(raw: bytes, size: int = 1 << 22) -> Iterator[bytes]:
         at = stop
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """An array's bytes, their number first, compressed."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unsqueeze(packed: bytes, kind: str) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b"", kind)
+
+
 def encode_chunks(docs: DataFrame, id_col: str, text: str, train: str, chunk_tokens: int) -> DataFrame:
     """Chunks: chunk, ids, sizes (tokens with the end), learn (documents to learn from), words (hashes), counts (in them), tokens (numbers in words)."""
 
@@ -64,7 +75,7 @@ def encode_chunks(docs: DataFrame, id_col: str, text: str, train: str, chunk_tok
             counts = np.bincount(flat[np.repeat(np.array(learn, bool), sizes)], minlength=len(known))
             words = np.fromiter((xxh64_intdigest(w) for w in known), np.uint64, len(known))
             return pa.record_batch(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([learn], pa.list_(pa.bool_())), pa.array([words.tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([flat.astype("<u4").tobytes()], pa.binary())],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([learn], pa.list_(pa.bool_())), pa.array([words.tobytes()], pa.binary()), pa.array([squeeze(counts.astype("<i8"))], pa.binary()), pa.array([squeeze(flat.astype("<u4"))], pa.binary())],
                 names=["chunk", "ids", "sizes", "learn", "words", "counts", "tokens"],
             )
 
@@ -88,65 +99,69 @@ def encode_chunks(docs: DataFrame, id_col: str, text: str, train: str, chunk_tok
 
 
 def count_words(chunks: DataFrame, parts: int, vocabulary: int) -> DataFrame:
-    """Rows (chunk, words, counts) with the corpus counts of each chunk's words; rows of chunk -1 hold a bucket's most frequent words, rows of chunk -2 its sum and number of words."""
+    """Rows (chunk, bucket, words, counts): the corpus counts of a chunk's words in a bucket, in the chunk's order.
+
+    Rows of chunk -1 hold a bucket's most frequent words, rows of chunk -2 its sum and
+    number of words.
+    """
     best = 4 * -(-vocabulary // parts) + 64
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words, counts = np.frombuffer(batch.column(1)[k].as_py(), "<u8"), np.frombuffer(batch.column(2)[k].as_py(), "<i8")
+                words, counts = np.frombuffer(batch.column(1)[k].as_py(), "<u8"), unsqueeze(batch.column(2)[k].as_py(), "<i8")
                 bucket = (words % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 words, counts, bucket = words[order], counts[order], bucket[order]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 ends = np.r_[cut[1:], len(words)]
                 yield pa.record_batch(
-                    [pa.array(bucket[cut]), pa.array(np.full(len(cut), batch.column(0)[k].as_py(), np.int64)), pa.array([words[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
+                    [pa.array(bucket[cut]), pa.array(np.full(len(cut), batch.column(0)[k].as_py(), np.int64)), pa.array([words[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([squeeze(counts[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())],
                     names=["bucket", "chunk", "words", "counts"],
                 )
 
-    def add_up(bucket: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        words = np.concatenate([np.frombuffer(w, "<u8") for _, w, _ in bucket])
-        counts = np.concatenate([np.frombuffer(c, "<i8") for _, _, c in bucket])
+    def add_up(bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        words = np.concatenate([np.frombuffer(w, "<u8") for _, w, _ in held])
+        counts = np.concatenate([unsqueeze(c, "<i8") for _, _, c in held])
         values, back = np.unique(words, return_inverse=True)
         total = np.zeros(len(values), np.int64)
         np.add.at(total, back, counts)
         sums, at, rows = total[back], 0, []
-        for chunk, w, _ in bucket:
+        for chunk, w, _ in held:
             n = len(w) // 8
-            rows.append((chunk, w, sums[at : at + n].tobytes()))
+            rows.append((chunk, b"", squeeze(sums[at : at + n])))
             at += n
         top = np.lexsort((values, -total))[:best]
         top = top[total[top] > 0]
-        rows.append((-1, values[top].tobytes(), total[top].tobytes()))
-        rows.append((-2, b"", np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "words", "counts"])
+        rows.append((-1, values[top].tobytes(), squeeze(total[top])))
+        rows.append((-2, b"", squeeze(np.array([total.sum(), (total > 0).sum()], "<i8"))))
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "bucket", "words", "counts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
             for b, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if held and b != now:
-                    yield add_up(held)
+                    yield add_up(now, held)
                     held = []
                 now = b
                 held.append(tuple(row))
         if held:
-            yield add_up(held)
+            yield add_up(now, held)
 
     sent = chunks.select("chunk", "words", "counts").mapInArrow(send, "bucket bigint, chunk bigint, words binary, counts binary")
-    return store(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "chunk bigint, words binary, counts binary"), "counts")
+    return store(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "chunk bigint, bucket bigint, words binary, counts binary"), "counts")
 
 
 def gather_model(counted: DataFrame, vocabulary: int) -> dict:
     """What all scores need: N, V, the model's words by falling count and the sums outside of them."""
     n = v = 0
     for r in counted.filter("chunk = -2").select("counts").toLocalIterator():
-        a, b = np.frombuffer(r.counts, "<i8").tolist()
+        a, b = unsqueeze(r.counts, "<i8").tolist()
         n, v = n + a, v + b
     words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for r in counted.filter("chunk = -1").select("words", "counts").toLocalIterator():
-        words, counts = np.concatenate([words, np.frombuffer(r.words, "<u8")]), np.concatenate([counts, np.frombuffer(r.counts, "<i8")])
+        words, counts = np.concatenate([words, np.frombuffer(r.words, "<u8")]), np.concatenate([counts, unsqueeze(r.counts, "<i8")])
         if len(words) > 8 * vocabulary:
             top = np.lexsort((words, -counts))[: vocabulary + 1]
             words, counts = words[top], counts[top]
@@ -162,7 +177,7 @@ def gather_model(counted: DataFrame, vocabulary: int) -> dict:
     return {"n": n, "v": v, "end": end, "words": words, "counts": np.concatenate([[ends, outside[0]], counts]).astype(np.float64), "outside": outside}
 
 
-def to_vocabulary(chunks: DataFrame, counted: DataFrame, gathered: dict) -> DataFrame:
+def to_vocabulary(chunks: DataFrame, counted: DataFrame, gathered: dict, parts: int) -> DataFrame:
     """Chunks in the model's words: chunk, ids, sizes, learn, known, base, rest (log10 of unknown words' shares), stream."""
     n, v, out_n, out_v = gathered["n"], gathered["v"], *gathered["outside"]
     order = np.argsort(gathered["words"])
@@ -173,11 +188,10 @@ def to_vocabulary(chunks: DataFrame, counted: DataFrame, gathered: dict) -> Data
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("words", "tokens", "back")}
-                words, tokens = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<u4")
-                hashes = np.concatenate([np.frombuffer(x["words"], "<u8") for x in row["back"]])
-                counts = np.concatenate([np.frombuffer(x["counts"], "<i8") for x in row["back"]])
-                by = np.argsort(hashes)
-                c = counts[by][np.searchsorted(hashes[by], words)]
+                words, tokens = np.frombuffer(row["words"], "<u8"), unsqueeze(row["tokens"], "<u4")
+                c = np.empty(len(words), np.int64)
+                found = [unsqueeze(x["counts"], "<i8") for x in sorted(row["back"], key=lambda x: x["bucket"])]
+                c[np.argsort((words % np.uint64(parts)).astype(np.int64), kind="stable")] = np.concatenate(found)
                 sizes = batch.column("sizes")[k].values.to_numpy(zero_copy_only=False)
                 first = np.cumsum(sizes) - sizes
                 at = np.minimum(np.searchsorted(ranked, words), max(len(ranked) - 1, 0))
@@ -188,18 +202,18 @@ def to_vocabulary(chunks: DataFrame, counted: DataFrame, gathered: dict) -> Data
                 sums = [np.add.reduceat(x[tokens], first) for x in ((c > 0).astype(np.int64), base, rest)]
                 one = batch.slice(k, 1)
                 yield pa.record_batch(
-                    [one.column("chunk"), one.column("ids"), one.column("sizes"), one.column("learn"), *[pa.array([s], pa.list_(t)) for s, t in zip(sums, (pa.int64(), pa.float64(), pa.float64()), strict=True)], pa.array([ids.astype("<u2")[tokens].tobytes()], pa.binary())],
+                    [one.column("chunk"), one.column("ids"), one.column("sizes"), one.column("learn"), *[pa.array([s], pa.list_(t)) for s, t in zip(sums, (pa.int64(), pa.float64(), pa.float64()), strict=True)], pa.array([squeeze(ids.astype("<u2")[tokens])], pa.binary())],
                     names=["chunk", "ids", "sizes", "learn", "known", "base", "rest", "stream"],
                 )
 
     kind = chunks.schema["ids"].dataType.simpleString()
-    back = counted.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("words", "counts")).alias("back"))
+    back = counted.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("back"))
     joined = chunks.select("chunk", "ids", "sizes", "learn", "words", "tokens").join(back, "chunk")
     return store(joined.mapInArrow(run, f"chunk bigint, ids {kind}, sizes array<bigint>, learn array<boolean>, known array<bigint>, base array<double>, rest array<double>, stream binary"), "streams")
 
 
 def _docs_of(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
-    stream = np.frombuffer(batch.column("stream")[k].as_py(), "<u2").astype(np.int64)
+    stream = unsqueeze(batch.column("stream")[k].as_py(), "<u2").astype(np.int64)
     sizes = batch.column("sizes")[k].values.to_numpy(zero_copy_only=False)
     return np.split(stream, np.cumsum(sizes)[:-1])
 
@@ -267,7 +281,7 @@ def score_corpus(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / (16 << 20)))
     counted = count_words(encoded, parts, vocabulary)
     gathered = gather_model(counted, vocabulary)
-    streams = to_vocabulary(encoded, counted, gathered)
+    streams = to_vocabulary(encoded, counted, gathered, parts)
     drop(encoded, counted)
     model = GatedModel.start(gathered["counts"], hidden, n_classes, seed)
     for r in range(rounds):
@@ -277,12 +291,28 @@ def score_corpus(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = GatedModel(*sent.value)
+
+        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Chunks are scored together, so that their longest documents run side by side."""
+            parts = [_docs_of(one, 0) for one in held]
+            found = own.score([d for p in parts for d in p]) / math.log(10)
+            at = 0
+            for one, p in zip(held, parts, strict=True):
+                cols = {c: one.column(c)[0].values for c in ("ids", "sizes", "known", "base", "rest")}
+                score = found[at : at + len(p)] + cols["rest"].to_numpy(zero_copy_only=False)
+                at += len(p)
+                yield pa.record_batch([cols["ids"], cols["sizes"], cols["known"], pa.array(np.full(len(score), n, np.int64)), cols["base"], pa.array(score)], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        held, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                found = own.score(_docs_of(batch, k)) / math.log(10)
-                one = {c: batch.column(c)[k].values for c in ("ids", "sizes", "known", "base", "rest")}
-                score = found + one["rest"].to_numpy(zero_copy_only=False)
-                yield pa.record_batch([one["ids"], one["sizes"], one["known"], pa.array(np.full(len(score), n, np.int64)), one["base"], pa.array(score)], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                held.append(batch.slice(k, 1))
+                size += int.from_bytes(batch.column("stream")[k].as_py()[:8], "little") // 2
+                if size >= 2 * pool_tokens:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return streams.select("ids", "sizes", "known", "base", "rest", "stream").mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

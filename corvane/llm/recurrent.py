@@ -127,22 +127,38 @@ class GatedModel:
             out[i:j] = state
         return out, state, going, kept
 
-    def softmax(self, states: np.ndarray, target: np.ndarray, learn: bool):
+    def reach(self) -> tuple[float, np.ndarray]:
+        """How far logits can lie from their biases, of classes and of each class's words: a state's elements are below 1."""
+        words = np.abs(self.p["O"]).sum(axis=1)
+        return float(np.abs(self.p["C"]).sum(axis=0).max()), np.maximum.reduceat(words, self.first[:-1])
+
+    @staticmethod
+    def exponents(z: np.ndarray, bias: np.ndarray, reach: float) -> None:
+        """``z`` with ``bias``, less a constant, in place, so that its exponentials stay in range.
+
+        Within a small reach the highest bias serves all rows; else each row has its own maximum.
+        """
+        if reach < 70:
+            z += bias - bias.max()
+        else:
+            z += bias
+            z -= z.max(axis=1, keepdims=True)
+
+    def softmax(self, states: np.ndarray, target: np.ndarray, learn: bool, reach: tuple[float, np.ndarray] | None = None):
         """Natural log-probability of each target; with ``learn`` also the gradients of its mean negative."""
         p, n = self.p, len(target)
+        far, far_words = reach or self.reach()
         cls, rows = self.cls[target], np.arange(n)
         z = states @ p["C"]
-        z += p["c"]
-        z -= z.max(axis=1, keepdims=True)
+        self.exponents(z, p["c"], far)
         own = z[rows, cls]
         np.exp(z, out=z)
-        total = z.sum(axis=1)
+        total = z @ np.ones(z.shape[1], np.float32)
         logp = own - np.log(total)
         grads: dict = {}
         if learn:
-            z /= total[:, None]
-            z[rows, cls] -= 1
-            z /= n
+            z *= (1 / (n * total))[:, None]
+            z[rows, cls] -= 1 / n
             grads = {"C": states.T @ z, "c": z.sum(axis=0), "O": {}, "h": z @ p["C"].T}
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(self.first)))
@@ -153,17 +169,15 @@ class GatedModel:
             idx = order[ends[k] : ends[k + 1]]
             s, at = states[idx], target[idx] - a
             z = s @ p["O"][a:b].T
-            z += p["o"][a:b]
-            z -= z.max(axis=1, keepdims=True)
+            self.exponents(z, p["o"][a:b], far_words[k])
             r = np.arange(len(idx))
             own = z[r, at]
             np.exp(z, out=z)
-            total = z.sum(axis=1)
+            total = z @ np.ones(b - a, np.float32)
             logp[idx] += own - np.log(total)
             if learn:
-                z /= total[:, None]
-                z[r, at] -= 1
-                z /= n
+                z *= (1 / (n * total))[:, None]
+                z[r, at] -= 1 / n
                 grads["h"][idx] += z @ p["O"][a:b]
                 grads["O"][k] = (z.T @ s, z.sum(axis=0))
         return logp, grads
@@ -181,10 +195,13 @@ class GatedModel:
         """One pass over ``docs``; the mean log-probability on the way."""
         lay, h, p = Layout(docs, lanes), self.h, self.p
         state, gained = np.zeros((lanes, h), np.float32), 0.0
-        for t0, t1 in lay.windows(window, lanes * window // 2):
+        for turn, (t0, t1) in enumerate(lay.windows(window, lanes * window // 2)):
+            if turn % 16 == 0:  # a step changes a parameter by the rate at most
+                far, far_words = self.reach()
+                reach = far + 16 * rate * h, far_words + 16 * rate * h
             out, state, going, (zr, n, hun, prev) = self.states(lay, t0, t1, state, True)
             a, b = lay.begin[t0], lay.begin[t1]
-            logp, g = self.softmax(out, lay.target[a:b], True)
+            logp, g = self.softmax(out, lay.target[a:b], True, reach)
             gained += float(logp.sum())
             da = np.empty((b - a, 3 * h), np.float32)
             dn_hu = np.empty((b - a, h), np.float32)
@@ -221,10 +238,11 @@ class GatedModel:
         lay = Layout(docs, lanes)
         state = np.zeros((lanes, self.h), np.float32)
         logp = np.empty(len(lay.target), np.float32)
+        reach = self.reach()
         for t0, t1 in lay.windows(1, tokens):
             out, state, _, _ = self.states(lay, t0, t1, state, False)
             a, b = lay.begin[t0], lay.begin[t1]
-            logp[a:b] = self.softmax(out, lay.target[a:b], False)[0]
+            logp[a:b] = self.softmax(out, lay.target[a:b], False, reach)[0]
         return np.array([logp[at].sum(dtype=np.float64) for at in lay.at])
 
     def pack(self) -> bytes:
