@@ -37,6 +37,24 @@ def test_ann_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_ann_query(spark, sf):
+    from corvane import catalog
+
+    d = f"/root/testdata/{sf}"
+    pts = catalog.dense_points(spark, d)
+    q = pts.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    exact = {(r.qid, r.id) for r in retrieve.dense_topk(q, pts, 10).collect()}
+    near = {(r.qid, r.id) for r in catalog.ret03_ann_topk(spark, d).collect()}
+    assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact)
+
+
+def test_ann_sample_is_drawn_from_the_whole_table(spark):
+    pts = spark.range(0, 4000, 1, 4).select("id", F.array(F.floor(F.col("id") / 1000).cast("double") + 1, F.lit(1.0)).alias("vec"))
+    x = retrieve.ann_sample(pts, 400)
+    assert 300 < len(x) < 500 and len({round(v, 6) for v in x[:, 0]}) == 4
+
+
 def test_demo_tokens(spark):
     r = spark.createDataFrame([("Paid bills: payments, cats is x9s",)], "t string").select(retrieve.demo_tokens(F.col("t")).alias("t")).first()
     assert r.t == ["pay", "invoice", "pay", "cat", "is", "x9s"]
