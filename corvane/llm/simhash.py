@@ -205,17 +205,24 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block_rows: int = 4096) -
     return links
 
 
+def fingerprint_roots(fps: DataFrame, radius: int = 4, block_rows: int = 4096) -> DataFrame:
+    """Distinct fingerprints (fp, ...) with ``root``, one fingerprint for each component of the radius graph."""
+    links = fingerprint_links(fps.select("fp"), radius, block_rows)
+    roots = stars(links)
+    drop(links)
+    rooted = store(fps.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("to")), "fp", "left").withColumn("root", F.coalesce("to", "fp")).drop("to"), "roots")
+    drop(roots)
+    return rooted
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, block_rows: int = 4096) -> DataFrame:
     """Per row of ``docs``: id, fp (signed long) and component (least id reachable by links)."""
     marked = store(with_fingerprints(docs, id_col, text, shingle), "fingerprints")
     fps = store(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    links = fingerprint_links(fps.select("fp"), radius, block_rows)
-    roots = stars(links)
-    drop(links)
-    rooted = fps.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("to")), "fp", "left").select("fp", "least", F.coalesce("to", "fp").alias("root"))
+    rooted = fingerprint_roots(fps, radius, block_rows)
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of_fp = store(rooted.join(named, "root").select("fp", "component"), "components")
-    drop(fps, roots)
+    drop(fps, rooted)
     return marked.join(of_fp, "fp").select("id", "fp", "component")
 
 
@@ -223,16 +230,24 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``: of each component the one with the least id; of repeated ids one row.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, block_rows: int = 4096) -> DataFrame:
+    """Rows of ``docs``: of each component the one with the least id, of repeated rows any one.
 
-    Rows without an id can't be chosen by it and stay.
+    Rows are told apart by id and text, so one id may head several components. Rows
+    without an id can't be ordered with the others: a component keeps one of them too.
     """
-    found = near_duplicates(docs, id_col, text, **options)
-    heads = found.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    heads = store(heads.withColumnRenamed("id", id_col), "heads")
-    kept = docs.join(heads, id_col)
-    single = kept.filter("n = 1").select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    key = F.struct(F.xxhash64(F.col(id_col), F.col(text)).alias("h"), F.sha1(F.col(text)).alias("s")).cast("string")
+    keyed = docs.withColumn("_key", key)
+    marked = store(with_fingerprints(keyed.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.col("_key").alias("key"))), "_row", text, shingle), "fingerprints")
+    fps = store(marked.select("fp").distinct(), "distinct")
+    rooted = fingerprint_roots(fps, radius, block_rows)
+    rows = marked.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")).join(rooted, "fp")
+    first = F.min(F.struct("id.id", "id.key", "n")).alias("first")
+    heads = store(rows.groupBy("root", F.col("id.id").isNull().alias("none")).agg(first).select(F.col("first.key").alias("_key"), F.col("first.n").alias("n")), "heads")
+    drop(marked, fps, rooted)
+    kept = keyed.join(heads, "_key")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = kept.filter("n = 1").select(*columns)
     if heads.filter("n > 1").isEmpty():
         return single
-    return single.unionByName(kept.filter("n > 1").select(*docs.columns).dropDuplicates([id_col]))
+    return single.unionByName(kept.filter("n > 1").dropDuplicates(["_key"]).select(*columns))

@@ -80,6 +80,15 @@ def test_keep_one(spark):
     assert kept.count(None) == 1
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b), (3, c), (5, c), (5, d), (None, d + " x y"), (None, a[::-1]), (None, a[::-1]), (5, d)]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "x", 7) for i, t in rows], DOCS)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept if r.doc_id is not None), key=str) == sorted([(1, a), (1, b), (3, c), (5, d)], key=str)
+    assert [r.text for r in kept if r.doc_id is None].count(a[::-1]) == 1
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
