@@ -179,7 +179,8 @@ def ret17_dbsf(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def ret18_mmr(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.mmr(dense_hits(spark, d, 50).join(dense_points(spark, d).select("id", "vec"), "id"), 0.5, 10, 50)
+    hits = retrieve.dense_topk(spread_queries(spark, d), dense_points(spark, d), 50)
+    return fusion.mmr(hits.join(dense_points(spark, d).select("id", "vec"), "id"), 0.5, 10, 50)
 
 
 def sql_boost(kind: str) -> str:

@@ -41,6 +41,11 @@ def test_query(spark, con, name):
     assert num([r[c] for c in cols] for r in found.collect()) == num(want.fetchall())
 
 
+def test_mmr_answers_every_id_divisible_by_50(spark):
+    asked = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
+    assert {r.qid for r in catalog.ret18_mmr(spark, SF).select("qid").distinct().collect()} == asked
+
+
 def test_entry(spark):
     import __spark_entry__
 
