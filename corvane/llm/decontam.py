@@ -9,9 +9,9 @@ gives the candidates, which the shifted lists of the other terms then thin out,
 rarest first. Segments are dealt by document, so nothing is shuffled.
 
 Defined results: null or wordless texts have no words and match nothing; items
-without words or without id are not searched for; an item of fewer words than a
-window is one window; repeated rows are matched each on its own; empty tables
-give no matches.
+without words are not searched for; items without id are, and all of them are one
+null at the end of ``items``; an item of fewer words than a window is one window;
+repeated rows are matched each on its own; empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
+def sorted_items(items: Iterable[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 class Segment:
     """Positional postings of some documents."""
 
@@ -68,7 +72,7 @@ class TestBlock:
 
     __test__ = False
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], size: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], size: int):
         terms: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, ws in items:
@@ -80,7 +84,7 @@ class TestBlock:
         for k, w in enumerate(found):
             self.windows[k, : len(w)] = w
         self.lengths = (self.windows >= 0).sum(axis=1)
-        self.items = [sorted(x) for x in found.values()]
+        self.items = [sorted_items(x) for x in found.values()]
 
     def local(self, seg: Segment) -> np.ndarray:
         """Segment term of each block term; -1 if the segment lacks it."""
@@ -184,7 +188,7 @@ def read_segment(row: dict) -> Segment:
 def test_blocks(benchmark: DataFrame, id_col: str, text: str, window: int, block_words: int) -> Iterator[TestBlock]:
     """The items in blocks of about ``block_words`` words; the driver holds one block at a time."""
     held, n = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null")
     for r in rows.toLocalIterator():
         ws = words_of(r.t.encode())
         if ws:
@@ -213,7 +217,7 @@ def search(index: DataFrame, block: TestBlock) -> DataFrame:
                 seg = read_segment({n: one.column(n)[0].as_py() for n in ("lengths", "terms", "offsets", "positions")})
                 start, w = phrase_matches(seg, block)
                 spans: list[list[dict]] = [[] for _ in range(len(ids))]
-                items: list[set[str]] = [set() for _ in range(len(ids))]
+                items: list[set[str | None]] = [set() for _ in range(len(ids))]
                 if len(start):
                     step = np.zeros(seg.starts[-1] + 1, np.int32)
                     np.add.at(step, start, 1)
@@ -230,7 +234,7 @@ def search(index: DataFrame, block: TestBlock) -> DataFrame:
                 yield pa.record_batch(
                     [
                         pa.array(np.full(n, one.column(0)[0].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int64)), ids, pa.array(seg.lengths),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted_items(x) for x in items], pa.list_(pa.string())),
                     ],
                     names=["segment", "place", "id", "n_words", "spans", "items"],
                 )

@@ -195,6 +195,16 @@ def test_benchmark_hits(spark, block_words):
     assert all(sum(s.stop - s.start for s in r.spans) == r.n_hit for r in rows)
 
 
+@pytest.mark.parametrize("block_words", [500_000, 30])
+def test_items_without_id_are_searched_for(spark, block_words):
+    named, unnamed = ([f"{c}{k}" for k in range(20)] for c in "ab")
+    docs = spark.createDataFrame([(1, " ".join(named), "x", 1), (2, " ".join(["z", *unnamed]), "x", 1), (3, "clean text", "x", 1)], DOCS)
+    items = spark.createDataFrame([(7, " ".join(named)), (None, " ".join(unnamed))], "item_id long, text string")
+    found = {r.id: (r.n_words, r.n_hit, r["items"]) for r in decontam.benchmark_hits(docs, items, block_words=block_words).collect()}
+    assert found == {1: (20, 20, ["7"]), 2: (21, 20, [None]), 3: (2, 0, [])}
+    assert [r.doc_id for r in decontam.remove_contaminated(docs, items).collect()] == [3]
+
+
 def test_contaminated_rows_leave_and_clean_ones_stay(spark):
     item = " ".join(f"w{k}" for k in range(20))
     docs = [(1, item, "a", 1), (1, "clean text", "a", 1), (None, item, "a", 1), (2, None, "a", 1), (2, None, "a", 1)]
