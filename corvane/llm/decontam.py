@@ -131,19 +131,24 @@ def phrase_matches(seg: Segment, block: TestBlock, at_once: int = 1 << 21) -> tu
 
 
 def proximity_matches(seg: Segment, terms: list[bytes], slop: int) -> np.ndarray:
-    """Positions of the rarest term with every other term within ``slop`` words in the same document."""
+    """Positions of any of the terms with every other term within ``slop`` words in the same document.
+
+    They do not depend on which term is rare in a segment, so documents may be dealt over segments in any way.
+    """
     known = {t: k for k, t in enumerate(seg.terms)}
     nums = [known.get(t, -1) for t in dict.fromkeys(terms)]
     if not nums or min(nums) < 0:
         return np.zeros(0, np.int64)
     lists = sorted((seg.postings(k) for k in nums), key=len)
-    at = lists[0]
-    for other in lists[1:]:
-        doc = seg.document(at)
-        low, high = np.maximum(at - slop, seg.starts[doc]), np.minimum(at + slop, seg.starts[doc] + seg.lengths[doc] - 1)
-        j = np.searchsorted(other, low)
-        at = at[(j < len(other)) & (other[np.minimum(j, len(other) - 1)] <= high)]
-    return at
+    found = []
+    for k, at in enumerate(lists):
+        for other in lists[:k] + lists[k + 1 :]:
+            doc = seg.document(at)
+            low, high = np.maximum(at - slop, seg.starts[doc]), np.minimum(at + slop, seg.starts[doc] + seg.lengths[doc] - 1)
+            j = np.searchsorted(other, low)
+            at = at[(j < len(other)) & (other[np.minimum(j, len(other) - 1)] <= high)]
+        found.append(at)
+    return np.sort(np.concatenate(found))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_bytes: int = 6 << 20) -> DataFrame:
@@ -243,6 +248,28 @@ def search(index: DataFrame, block: TestBlock) -> DataFrame:
     return index.mapInArrow(run, f"segment bigint, place bigint, id {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>")
 
 
+def search_near(index: DataFrame, phrase: str, slop: int) -> DataFrame:
+    """Documents of a stored index with the words of ``phrase`` near each other: segment, place, id and the ``positions`` of :func:`proximity_matches` as word numbers."""
+    terms = words_of(phrase.encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                seg = read_segment({n: one.column(n)[0].as_py() for n in ("lengths", "terms", "offsets", "positions")})
+                at = proximity_matches(seg, terms, slop)
+                doc = seg.document(at)
+                place, first = np.unique(doc, return_index=True)
+                words = np.split(at - seg.starts[doc], first[1:]) if len(place) else []
+                yield pa.record_batch(
+                    [pa.array(np.full(len(place), one.column(0)[0].as_py(), np.int64)), pa.array(place, pa.int64()), one.column(1)[0].values.take(pa.array(place, pa.int64())), pa.array(words, pa.list_(pa.int64()))],
+                    names=["segment", "place", "id", "positions"],
+                )
+
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    return index.mapInArrow(run, f"segment bigint, place bigint, id {kind}, positions array<bigint>")
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 500_000) -> DataFrame:
     """Per document: id, n_words, n_hit, items (ids as sorted strings), spans (runs of hit words)."""
     index = build_index(docs, id_col, text)

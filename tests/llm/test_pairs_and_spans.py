@@ -217,3 +217,18 @@ def test_proximity():
     seg = decontam.Segment.build([b"a x b y c".split(), b"a q q q b c".split()])
     assert decontam.proximity_matches(seg, [b"a", b"b", b"c"], 3).tolist() in ([0], [2], [4])
     assert len(decontam.proximity_matches(seg, [b"a", b"zzz"], 3)) == 0
+
+
+@pytest.mark.parametrize("segment_bytes", [6 << 20, 1])
+def test_proximity_over_the_stored_index(spark, segment_bytes):
+    rng = random.Random(6)
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for k in range(40)] + [(None, "C, a. x B"), (41, None), (42, "a c"), (43, "b a")]
+    want = []
+    for i, t in docs:
+        ws = (t or "").lower().replace(",", "").replace(".", "").split()
+        near = [p for p, w in enumerate(ws) if w in "abc" and all(o in ws[max(p - 2, 0) : p + 3] for o in "abc")]
+        want += [(i, near)] if near else []
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"), segment_bytes=segment_bytes)
+    found = decontam.search_near(index, "A b, c", 2).collect()
+    assert sorted(((r.id, r.positions) for r in found), key=str) == sorted(want, key=str) and want
+    assert decontam.search_near(index, "a zzz", 2).count() == decontam.search_near(index, "", 2).count() == 0
