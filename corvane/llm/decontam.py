@@ -5,8 +5,8 @@ segment's term dictionary, and for each term the ascending list of its word
 positions (documents lie one after another with a gap, so that no match crosses
 them). The benchmark is matched in blocks of bounded size against every segment:
 for each test window the list of its rarest term, shifted by the term's offset,
-gives the candidates, which the shifted lists of the other terms then thin out,
-rarest first. Segments are dealt by document, so nothing is shuffled.
+gives the candidates, which binary search in the shifted lists of the other terms
+then thins out, rarest first. Segments are dealt by document, so nothing is shuffled.
 
 Defined results: null or wordless texts have no words and match nothing; items
 without words are not searched for; items without id are, and all of them are one
@@ -16,6 +16,7 @@ repeated rows are matched each on its own; empty tables give no matches.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterable, Iterator
 
@@ -54,11 +55,13 @@ class Segment:
         offsets = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(ids)))])
         return cls(lengths, list(ids), offsets, place[order])
 
-    def forward(self) -> np.ndarray:
-        """Term at each position, -1 in the gaps."""
-        out = np.full(self.starts[-1] + 1, -1, np.int32)
-        out[self.positions] = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.offsets))
-        return out
+    def listed(self) -> np.ndarray:
+        """All postings as one ascending sequence of (term, position) in one number, so that many lists are searched at once."""
+        return np.repeat(np.arange(len(self.terms)) * self.span, np.diff(self.offsets)) + self.positions
+
+    @property
+    def span(self) -> int:
+        return int(self.starts[-1]) + 1
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.offsets[term] : self.offsets[term + 1]]
@@ -103,7 +106,7 @@ def phrase_matches(seg: Segment, block: TestBlock, at_once: int = 1 << 21) -> tu
     rows = rows[whole]
     cost = np.where(rows >= 0, freq[rows], np.iinfo(np.int64).max)
     by_rarity = np.argsort(cost, axis=1, kind="stable")
-    forward = seg.forward()
+    listed = seg.listed()
     todo = np.cumsum(np.take_along_axis(cost, by_rarity[:, :1], axis=1)[:, 0]) if len(rows) else np.zeros(0, np.int64)
     out_at, out_w, first = [], [], 0
     while first < len(rows):
@@ -120,7 +123,8 @@ def phrase_matches(seg: Segment, block: TestBlock, at_once: int = 1 << 21) -> tu
         for rank in range(1, rows.shape[1]):
             col = by_rarity[w, rank]
             want = rows[w, col]
-            keep = (want < 0) | (forward[np.minimum(start + col, len(forward) - 1)] == want)
+            shifted = want * seg.span + start + col  # where the term's list holds the candidate, shifted by the term's place
+            keep = (want < 0) | (listed[np.minimum(np.searchsorted(listed, shifted), len(listed) - 1)] == shifted)
             start, w = start[keep], w[keep]
             if not len(start):
                 break
@@ -131,9 +135,9 @@ def phrase_matches(seg: Segment, block: TestBlock, at_once: int = 1 << 21) -> tu
 
 
 def proximity_matches(seg: Segment, terms: list[bytes], slop: int) -> np.ndarray:
-    """Positions of any of the terms with every other term within ``slop`` words in the same document.
+    """First positions of the windows of ``slop`` + 1 words of one document that begin with one of ``terms`` and hold all of them.
 
-    They do not depend on which term is rare in a segment, so documents may be dealt over segments in any way.
+    The rarest term's list gives the places to look at; the matches do not depend on which term that is.
     """
     known = {t: k for k, t in enumerate(seg.terms)}
     nums = [known.get(t, -1) for t in dict.fromkeys(terms)]
@@ -144,45 +148,71 @@ def proximity_matches(seg: Segment, terms: list[bytes], slop: int) -> np.ndarray
     for k, at in enumerate(lists):
         for other in lists[:k] + lists[k + 1 :]:
             doc = seg.document(at)
-            low, high = np.maximum(at - slop, seg.starts[doc]), np.minimum(at + slop, seg.starts[doc] + seg.lengths[doc] - 1)
-            j = np.searchsorted(other, low)
-            at = at[(j < len(other)) & (other[np.minimum(j, len(other) - 1)] <= high)]
+            last = np.minimum(at + slop, seg.starts[doc] + seg.lengths[doc] - 1)
+            j = np.searchsorted(other, at)
+            at = at[(j < len(other)) & (other[np.minimum(j, len(other) - 1)] <= last)]
         found.append(at)
     return np.sort(np.concatenate(found))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_bytes: int = 6 << 20) -> DataFrame:
-    """The stored index of ``docs``: a row per segment of about ``segment_bytes`` of text."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_bytes: int = 6 << 20, with_rows: bool = False) -> DataFrame:
+    """The stored index of ``docs``: a row per segment of about ``segment_bytes`` of text.
+
+    With ``with_rows`` a segment also keeps its rows of ``docs`` whole (``stored``, an
+    Arrow stream), so that what is found need not be joined with the table again.
+    """
 
-    def row(ids: list, docs_words: list[list[bytes]], kind: pa.DataType, number: int) -> pa.RecordBatch:
+    def row(ids: list, docs_words: list[list[bytes]], kind: pa.DataType, number: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         seg = Segment.build(docs_words)
         columns = [
             pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([seg.lengths.tolist()], pa.list_(pa.int64())), pa.array([b"\n".join(seg.terms)], pa.binary()),
             pa.array([seg.offsets.astype("<u4").tobytes()], pa.binary()), pa.array([seg.positions.astype("<u4").tobytes()], pa.binary()),
         ]
-        return pa.record_batch(columns, names=["segment", "ids", "lengths", "terms", "offsets", "positions"])
+        names = ["segment", "ids", "lengths", "terms", "offsets", "positions"]
+        if with_rows:
+            columns, names = [*columns, pa.array([to_stream(rows)], pa.binary())], [*names, "stored"]
+        return pa.record_batch(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        ids, held, size, kind = [], [], 0, pa.int64()
+        ids, held, rows, size, kind = [], [], [], 0, pa.int64()
         for batch in batches:
-            kind = batch.column(0).type
-            for key, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
-                raw = text.as_py()
+            kind, first = batch.column(0).type, 0
+            for k, (key, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                raw = text.as_py().encode() if text.is_valid else None
                 ids.append(key.as_py())
                 held.append(words_of(raw))
                 size += len(raw or b"") + 64
                 if size >= segment_bytes:
-                    yield row(ids, held, kind, number)
-                    ids, held, size, number = [], [], 0, number + 1
+                    rows.append(batch.slice(first, k + 1 - first))
+                    yield row(ids, held, kind, number, rows)
+                    ids, held, rows, size, number, first = [], [], [], 0, number + 1, k + 1
+            if first < batch.num_rows and with_rows:
+                rows.append(batch.slice(first))
         if ids:
-            yield row(ids, held, kind, number)
+            yield row(ids, held, kind, number, rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col), F.col(text)).mapInArrow(run, f"segment bigint, ids array<{kind}>, lengths array<bigint>, terms binary, offsets binary, positions binary")
-    return store(out, "postings")
+    columns = [F.col(f"`{id_col}`"), F.col(f"`{text}`"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns])] if with_rows else [])]
+    schema = f"segment bigint, ids array<{kind}>, lengths array<bigint>, terms binary, offsets binary, positions binary" + ", stored binary" * with_rows
+    return store(docs.select(*[c.alias(f"_{k}") for k, c in enumerate(columns)]).mapInArrow(run, schema), "postings")
+
+
+def to_stream(rows: list[pa.RecordBatch]) -> bytes:
+    """The whole rows (third column) of some batches, as a compressed Arrow stream."""
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, pa.schema([("row", rows[0].column(2).type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in rows:
+            out.write_batch(pa.record_batch([batch.column(2)], names=["row"]))
+    return sink.getvalue()
+
+
+def from_stream(raw: bytes) -> Iterator[pa.StructArray]:
+    with pa.ipc.open_stream(raw) as given:
+        for batch in given:
+            yield batch.column(0)
 
 
 def read_segment(row: dict) -> Segment:
@@ -211,52 +241,61 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def search(index: DataFrame, block: TestBlock) -> DataFrame:
-    """Per document: its place in the index, id, n_words, hit runs of words [start, stop) and the items found."""
+def segment_of(batch: pa.RecordBatch, k: int) -> Segment:
+    return read_segment({n: batch.column(n)[k].as_py() for n in ("lengths", "terms", "offsets", "positions")})
+
+
+def hits_of(seg: Segment, block: TestBlock) -> dict[int, tuple[list[tuple[int, int]], set[str | None]]]:
+    """Hit runs of words [start, stop) and items of each document of a segment that has any."""
+    start, w = phrase_matches(seg, block)
+    found: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
+    if len(start):
+        step = np.zeros(seg.span, np.int32)
+        np.add.at(step, start, 1)
+        np.add.at(step, start + block.lengths[w], -1)
+        hit = np.cumsum(step) > 0
+        doc = seg.document(start)
+        for d, x in np.unique(np.stack([doc, w]), axis=1).T.tolist():
+            if d not in found:
+                a = seg.starts[d]
+                found[d] = (_runs(hit[a : a + seg.lengths[d]]), set())
+            found[d][1].update(block.items[x])
+    return found
+
+
+def search(index: DataFrame, block: TestBlock, only_hits: bool = False) -> DataFrame:
+    """Per document (with ``only_hits``: that has any): its place in the index, id, n_words, hit runs of words [start, stop) and the items found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                ids = one.column(1)[0].values
-                seg = read_segment({n: one.column(n)[0].as_py() for n in ("lengths", "terms", "offsets", "positions")})
-                start, w = phrase_matches(seg, block)
-                spans: list[list[dict]] = [[] for _ in range(len(ids))]
-                items: list[set[str | None]] = [set() for _ in range(len(ids))]
-                if len(start):
-                    step = np.zeros(seg.starts[-1] + 1, np.int32)
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + block.lengths[w], -1)
-                    hit = np.cumsum(step) > 0
-                    doc = seg.document(start)
-                    pairs = np.unique(np.stack([doc, w]), axis=1)
-                    for d, x in pairs.T.tolist():
-                        items[d].update(block.items[x])
-                    for d in np.unique(doc).tolist():
-                        a = seg.starts[d]
-                        spans[d] = [{"start": p, "stop": q} for p, q in _runs(hit[a : a + seg.lengths[d]])]
-                n = len(ids)
+                ids, seg = batch.column("ids")[k].values, segment_of(batch, k)
+                found = hits_of(seg, block)
+                places = sorted(found) if only_hits else range(len(ids))
+                none: tuple[list, set] = ([], set())
+                own = [found.get(p, none) for p in places]
+                at = np.array(places, np.int64)
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(n, one.column(0)[0].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int64)), ids, pa.array(seg.lengths),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted_items(x) for x in items], pa.list_(pa.string())),
+                        pa.array(np.full(len(at), batch.column("segment")[k].as_py(), np.int64)), pa.array(at), ids.take(pa.array(at)), pa.array(seg.lengths[at]),
+                        pa.array([[{"start": a, "stop": b} for a, b in runs] for runs, _ in own], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                        pa.array([sorted_items(x) for _, x in own], pa.list_(pa.string())),
                     ],
                     names=["segment", "place", "id", "n_words", "spans", "items"],
                 )
 
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    return index.mapInArrow(run, f"segment bigint, place bigint, id {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>")
+    return index.select("segment", "ids", "lengths", "terms", "offsets", "positions").mapInArrow(run, f"segment bigint, place bigint, id {kind}, n_words bigint, spans {SPANS}, items array<string>")
 
 
 def search_near(index: DataFrame, phrase: str, slop: int) -> DataFrame:
-    """Documents of a stored index with the words of ``phrase`` near each other: segment, place, id and the ``positions`` of :func:`proximity_matches` as word numbers."""
+    """Documents of a stored index with all words of ``phrase`` within ``slop`` + 1 words: segment, place, id and the ``positions`` of :func:`proximity_matches` as word numbers."""
     terms = words_of(phrase.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                seg = read_segment({n: one.column(n)[0].as_py() for n in ("lengths", "terms", "offsets", "positions")})
+                one, seg = batch.slice(k, 1), segment_of(batch, k)
                 at = proximity_matches(seg, terms, slop)
                 doc = seg.document(at)
                 place, first = np.unique(doc, return_index=True)
@@ -270,20 +309,45 @@ def search_near(index: DataFrame, phrase: str, slop: int) -> DataFrame:
     return index.mapInArrow(run, f"segment bigint, place bigint, id {kind}, positions array<bigint>")
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 500_000) -> DataFrame:
+def _all_blocks(index: DataFrame, benchmark: DataFrame, id_col: str, text: str, window: int, block_words: int) -> tuple[TestBlock | None, DataFrame | None]:
+    """The only block of a benchmark, or else the merged hits of all its blocks (rows of :func:`search`).
+
+    Each of several blocks is searched for and its hits are written before the next one
+    is read, so the driver never holds two.
+    """
+    blocks = test_blocks(benchmark, id_col, text, window, block_words)
+    block, following = next(blocks, TestBlock([], window)), next(blocks, None)
+    if following is None:
+        return block, None
+    parts = [store(search(index, block, True), "hits")]
+    while following is not None:
+        block, following = following, None
+        parts.append(store(search(index, block, True), "hits"))
+        following = next(blocks, None)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    once = every.groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    last = lambda acc: F.element_at(acc, -1)
+    joined = F.aggregate(
+        "spans", F.array().cast(SPANS),
+        lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["stop"] >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))),
+    )
+    return None, once.withColumn("spans", joined)
+
+
+SPANS = "array<struct<start:bigint,stop:bigint>>"
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 500_000, segment_bytes: int = 6 << 20) -> DataFrame:
     """Per document: id, n_words, n_hit, items (ids as sorted strings), spans (runs of hit words)."""
-    index = build_index(docs, id_col, text)
-    parts = [search(index, b) for b in test_blocks(benchmark, item_col, item_text, window, block_words)] or [search(index, TestBlock([], window))]
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merged = F.aggregate(
-            "spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))),
-        )
-        found = found.withColumn("spans", F.when(F.size("spans") == 0, F.col("spans")).otherwise(merged))
+    index = build_index(docs, id_col, text, segment_bytes)
+    block, merged = _all_blocks(index, benchmark, item_col, item_text, window, block_words)
+    if block is not None:
+        found = search(index, block)
+    else:
+        every = search(index, TestBlock([], window)).drop("spans", "items")
+        found = every.join(merged.select("segment", "place", "spans", "items"), ["segment", "place"], "left").withColumns({"spans": F.coalesce("spans", F.array().cast(SPANS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
     return found.select("id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -293,14 +357,40 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated.
+def leaves(runs: list[tuple[int, int]], n_words: int, window: int) -> bool:
+    """A document is turned away for a run of a whole window, however long it is, or for a twentieth of its words (items shorter than a window)."""
+    n_hit = sum(b - a for a, b in runs)
+    return any(b - a >= window for a, b in runs) or 0 < n_words <= 20 * n_hit
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 500_000, segment_bytes: int = 6 << 20) -> DataFrame:
+    """The rows of ``docs`` that do not leave by :func:`leaves`, columns unchanged.
 
-    The index is built over distinct (id, text) as given; a row leaves if a
-    document of its id and number of words is contaminated. Rows without id are
-    matched by their text's hash like all others.
+    The index keeps the rows by segment, so each row is judged by its own text, rows
+    without id and repeated rows too, and no text is shuffled.
     """
-    keyed = docs.withColumn("_key", F.struct(F.xxhash64(F.col(id_col), F.col(text)).alias("h"), F.sha1(F.col(text)).alias("s")).cast("string"))
-    found = benchmark_hits(keyed, benchmark, "_key", text, **options)
-    bad = store(found.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("_key")).distinct(), "contaminated")
-    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    index = build_index(docs, id_col, text, segment_bytes, with_rows=True)
+    block, merged = _all_blocks(index, benchmark, item_col, item_text, window, block_words)
+    held = index
+    if merged is not None:
+        long_run = F.exists("spans", lambda s: s["stop"] - s["start"] >= window)
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
+        gone = merged.filter(long_run | contaminated(n_hit, F.col("n_words"))).groupBy("segment").agg(F.collect_list("place").alias("gone"))  # of one segment
+        held = index.join(gone, "segment", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if block is not None:
+                    seg = segment_of(batch, k)
+                    gone = [p for p, (runs, _) in hits_of(seg, block).items() if leaves(runs, int(seg.lengths[p]), window)]
+                else:
+                    gone = batch.column("gone")[k].as_py() or []
+                keep = np.ones(len(batch.column("ids")[k].values), bool)
+                keep[np.array(gone, np.int64)] = False
+                at = 0
+                for rows in from_stream(batch.column("stored")[k].as_py()):
+                    yield pa.RecordBatch.from_arrays(rows.filter(pa.array(keep[at : at + len(rows)])).flatten(), names=[f.name for f in rows.type])
+                    at += len(rows)
+
+    return held.mapInArrow(run, docs.schema)

@@ -25,10 +25,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import drop, store
+from corvane.llm.tables import row_key, whole_rows
 
 SCHEMA = "id {kind}, size bigint, source string, bucket bigint, copies bigint, part double"
 
@@ -130,54 +131,99 @@ def fold(rows: DataFrame, seed: int, level: int, final: bool) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 20, bucket_rows: int = 4096, fan_in: int = 16, max_sources: int = 100_000) -> DataFrame:
+def target_table(sums: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
+    """:func:`targets` for sources too many for the driver: rows (source, size) -> (s, source_size, target, share).
+
+    Sources are numbered in order by their place in a range partition and the counts
+    before it; each round of resharing is one pass over the table.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    placed = store(sums.select("source", "size").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33)
+    before, n = {}, 0
+    for r in placed.groupBy(part.cast("int").alias("part")).count().orderBy("part").collect():  # a row for each partition
+        before[r.part], n = n, n + r["count"]
+    starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    number = F.element_at(starts, part.cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))
+    rows = store(placed.select("source", "size", weight.alias("w"), (F.col("size") / weight).alias("level")), "weights")
+    total, bound = float(rows.agg(F.sum("size")).first()[0] or 0), -1.0
+    while True:  # sources up to a size for their weight are full
+        full = F.col("level") <= bound
+        r = rows.agg(F.sum(F.when(full, most * F.col("size"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        rest, whole = total - (r.full or 0.0), r.open or 0.0
+        following = rest / whole / most if whole else bound
+        more = rows.filter(~full & (F.col("level") < following)).agg(F.max("level")).first()[0] if whole else None
+        if more is None:
+            break
+        bound = more
+    goal = F.when(full, most * F.col("size")).otherwise(F.lit(rest / whole if whole else 0.0) * F.col("w"))
+    drop(placed)
+    return rows.select(F.col("source").alias("s"), F.col("size").alias("source_size"), goal.alias("target"), F.when(F.col("size") > 0, goal / F.col("size")).otherwise(0.0).alias("share"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 20, bucket_rows: int = 4096, fan_in: int = 16, driver_sources: int = 100_000) -> DataFrame:
     """Per row of ``docs``: id, size, source, source_size, target and copies (how often the mix takes it).
 
-    The sizes of the sources are held by the driver; more than ``max_sources``
-    of them are refused.
+    The targets of up to ``driver_sources`` sources are reckoned by the driver and
+    broadcast; those of more stay in a table (:func:`target_table`).
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     sized = store(docs.select(F.col(id_col).alias("id"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("h")), "sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(sums) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    size_of = {r.source: r.size for r in sums}
-    goal = targets(size_of, weights, most)
-    shares = [(s, size_of[s], goal[s], goal[s] / size_of[s] if size_of[s] else 0.0) for s in size_of]
-    share = spark.createDataFrame(shares or [(None, 0, 0.0, 0.0)], "s string, source_size bigint, target double, share double")
-    with_share = sized.join(F.broadcast(share), sized["source"].eqNullSafe(share["s"])).drop("s")
-
-    buckets = max(1, math.ceil(sum(r.n for r in sums) / bucket_rows))
+    grouped = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    sums = grouped.limit(driver_sources + 1).collect()
+    if len(sums) > driver_sources:
+        n_rows, share = sized.count(), target_table(grouped, weights, most)
+    else:
+        n_rows, size_of = sum(r.n for r in sums), {r.source: r.size for r in sums}
+        goal = targets(size_of, weights, most)
+        shares = [(s, size_of[s], goal[s], goal[s] / size_of[s] if size_of[s] else 0.0) for s in size_of]
+        share = F.broadcast(spark.createDataFrame(shares or [(None, 0, 0.0, 0.0)], "s string, source_size bigint, target double, share double"))
+    with_share = sized.join(share, sized["source"].eqNullSafe(share["s"])).drop("s")
+
+    buckets = max(1, math.ceil(n_rows / bucket_rows))
     whole = F.when(F.col("size") > 0, F.floor("share")).otherwise(F.lit(0)).cast("long")
     part = F.when((F.col("size") > 0) & (F.col("share") > F.floor("share")), F.col("share") - F.floor("share"))
     start = with_share.select("id", "size", "source", F.pmod(F.xxhash64("id", "h"), F.lit(buckets)).cast("long").alias("bucket"), whole.alias("copies"), part.alias("part"), "h")
     sure = start.filter("part is null").drop("h")
     ordered = start.filter("part is not null").repartition("bucket").sortWithinPartitions("bucket", "source", F.desc("size"), F.xxhash64("id", F.lit(seed)), "id", "h").drop("h")
     state = store(fold(ordered, seed, 0, buckets == 1), "mix")
-    done, level, made = [sure, state.filter("part is null")], 1, [state]
+    done, level = [sure, state.filter("part is null")], 1
     while buckets > 1:
         buckets = math.ceil(buckets / fan_in)
         left = state.filter("part is not null").withColumn("up", F.floor(F.col("bucket") / fan_in).cast("long"))
         tree = left.repartition("up", "source").sortWithinPartitions("up", "source", F.desc("size"), "bucket").select("id", "size", "source", F.col("up").alias("bucket"), "copies", "part")
         state = store(fold(tree, seed, level, buckets == 1), "mix")
         done.append(state.filter("part is null"))
-        made.append(state)
         level += 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     out = out.select("id", "size", "source", "copies")
-    return out.join(F.broadcast(share), out["source"].eqNullSafe(share["s"])).select(F.col("id").cast(kind).alias("id"), "size", "source", "source_size", "target", "copies")
+    return out.join(share, out["source"].eqNullSafe(share["s"])).select(F.col("id").cast(kind).alias("id"), "size", "source", "source_size", "target", "copies")
 
 
 def repeat_by_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it has copies."""
-    keyed = docs.withColumn("_key", F.sha1(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("\x02")), F.coalesce(F.col(text), F.lit("\x02")), F.coalesce(F.col(source), F.lit("\x02")))))
-    counted = mix(keyed, "_key", text, source, **options).groupBy("id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    counts = store(counted, "copies")
-    joined = keyed.join(counts, keyed["_key"] == counts["id"]).drop("id")
-    single = joined.filter("rows = 1 and copies > 0")
-    many = joined.filter("rows > 1 and copies > 0").dropDuplicates(["_key"])
-    every = single if counts.filter("rows > 1").isEmpty() else single.unionByName(many)
-    return every.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` as the mix takes them: each row as often as it has copies.
+
+    Rows of one id, text and source are told apart by nothing that the mix sees; their
+    copies are dealt to them in turn, so that each stands for itself.
+    """
+    key = row_key(F.col(id_col), F.col(text), F.col(source)).alias("key")
+    keyed = docs.select(key, F.col(text).alias("text"), F.col(source).alias("source"))
+    counted = mix(keyed, "key", "text", "source", **options).groupBy("id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
+    counts = store(counted.filter("copies > 0").select(F.col("id").alias("key"), "copies", "alike"), "copies")
+    joined = whole_rows(docs, key).join(counts.hint("merge"), "key")
+    times = F.sequence(F.lit(1).cast("long"), F.col("times"))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.select("row", F.explode(times)).select("row.*")
+
+    single = repeated(joined.filter("alike = 1").select("row", F.col("copies").alias("times")))
+    if counts.filter("alike > 1").isEmpty():
+        return single
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))  # rows repeated whole
+    share = F.floor(F.col("copies") / F.col("alike")) + F.when(turn <= F.col("copies") % F.col("alike"), 1).otherwise(0)
+    many = joined.filter("alike > 1").select("row", share.cast("long").alias("times")).filter("times > 0")
+    return single.unionByName(repeated(many))

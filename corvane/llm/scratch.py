@@ -8,11 +8,15 @@ without that setting (tests) gets a folder of its own.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_noted = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,7 +33,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for held in getattr(_noted, "open", []):
+        held.append(path)
+    return path
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that this thread makes inside the block."""
+    held: list[str] = []
+    _noted.open = [*getattr(_noted, "open", []), held]
+    try:
+        yield held
+    finally:
+        _noted.open = [x for x in _noted.open if x is not held]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +65,11 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_corvane_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables by path; what is gone already is passed over."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.components import stars
 from corvane.llm.scratch import drop, store
+from corvane.llm.tables import row_key, whole_rows
 
 ONE = np.uint64(1)
 
@@ -234,20 +235,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """Rows of ``docs``: of each component the one with the least id, of repeated rows any one.
 
     Rows are told apart by id and text, so one id may head several components. Rows
-    without an id can't be ordered with the others: a component keeps one of them too.
+    without an id come after all others: a component keeps one only if none has an id.
+    The table of heads grows with the input, so it is merged by key at any size and
+    never broadcast.
     """
-    key = F.struct(F.xxhash64(F.col(id_col), F.col(text)).alias("h"), F.sha1(F.col(text)).alias("s")).cast("string")
-    keyed = docs.withColumn("_key", key)
-    marked = store(with_fingerprints(keyed.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.col("_key").alias("key"))), "_row", text, shingle), "fingerprints")
+    key = row_key(F.col(id_col), F.col(text)).alias("key")
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), key).alias("row"), F.col(text).alias("text"))
+    marked = store(with_fingerprints(rows, "row", "text", shingle), "fingerprints")
     fps = store(marked.select("fp").distinct(), "distinct")
     rooted = fingerprint_roots(fps, radius, block_rows)
-    rows = marked.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")).join(rooted, "fp")
-    first = F.min(F.struct("id.id", "id.key", "n")).alias("first")
-    heads = store(rows.groupBy("root", F.col("id.id").isNull().alias("none")).agg(first).select(F.col("first.key").alias("_key"), F.col("first.n").alias("n")), "heads")
+    counted = marked.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")).join(rooted, "fp")
+    first = F.min(F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), F.col("id.key").alias("key"), "n")).alias("first")
+    heads = store(counted.groupBy("root").agg(first).select("first.key", "first.n"), "heads")
     drop(marked, fps, rooted)
-    kept = keyed.join(heads, "_key")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = kept.filter("n = 1").select(*columns)
+    kept = whole_rows(docs, key).join(heads.hint("merge"), "key")
+    single = kept.filter("n = 1").select("row.*")
     if heads.filter("n > 1").isEmpty():
         return single
-    return single.unionByName(kept.filter("n > 1").dropDuplicates(["_key"]).select(*columns))
+    return single.unionByName(kept.filter("n > 1").dropDuplicates(["key"]).select("row.*"))

@@ -1,9 +1,21 @@
-"""Readers for the driver's tables, by the path that Spark alone may open."""
+"""Readers for the driver's tables, by the path that Spark alone may open, and keys of rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_key(*values: Column) -> Column:
+    """Hex SHA-1 of some values of a row, each with its length before it; null differs from every text."""
+    texts = [v.cast("string") for v in values]
+    return F.sha1(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
+
+
+def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` as one column ``row`` beside ``more``, so that no name of the caller's meets one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)

@@ -37,15 +37,15 @@ def test_oracle(spark, name):
 
 
 def test_pipeline(spark):
-    from tests.llm.test_pairs_and_spans import components, hits
+    from tests.llm.test_pairs_and_spans import components, leaving
 
     con = database()
     docs = con.execute("SELECT doc_id, text, source FROM documents").fetchall()
     kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({oracle.QUALITY}) WHERE kept").fetchall()}
     docs = [d for d in docs if d[0] in kept]
     docs = [d for d, c in zip(docs, components(docs), strict=True) if c == d[0]]
-    found = hits([d[:2] for d in docs], con.execute("SELECT item_id, text FROM benchmark").fetchall())
-    docs = [d for d in docs if not (found[d[0]][1] and 20 * found[d[0]][1] >= found[d[0]][0])]
+    gone = leaving([d[:2] for d in docs], con.execute("SELECT item_id, text FROM benchmark").fetchall())
+    docs = [d for d in docs if d[0] not in gone]
 
     out = corpus_pipeline.run(spark, SF).collect()
     taken, texts = Counter(r.doc_id for r in out), {d[0]: d[1] for d in docs}
@@ -73,3 +73,15 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_stages_delete_what_those_before_them_left(spark):
+    """Only the result of the last stage and the token files stay."""
+    from corvane.llm.scratch import shared_root
+
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {x.getPath().getName().split("-")[0] for x in files.listStatus(root)}
+    with_old = {x.getPath().getName() for x in files.listStatus(root)} if files.exists(root) else set()
+    corpus_pipeline.run(spark, SF)
+    assert {x.getPath().getName().split("-")[0] for x in files.listStatus(root) if x.getPath().getName() not in with_old} == {"tokens"} and names()

@@ -144,6 +144,19 @@ def test_targets():
     assert mixing.targets({}) == {}
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(12)
+    rows = [(k, "w " * rng.choice([0, 1, 2, 3, 50, 400]), None if k % 11 == 0 else chr(rng.choice([97, 0xE9, 0xFFFD, 0x1F600]) + rng.randrange(8))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = ({(r.id, r.source): (r.size, r.source_size, r.target) for r in mixing.mix(docs, driver_sources=n).collect()} for n in (100_000, 2))
+    assert a.keys() == b.keys() and all(a[k][:2] == b[k][:2] and abs(a[k][2] - b[k][2]) < 1e-6 for k in a)
+
+
+def test_repeated_rows_are_each_taken_for_themselves(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", k) for k in range(3)] + [(2, "c d e f", "y", 9)], "doc_id long, text string, source string, copies int")
+    assert {r["copies"] for r in mixing.repeat_by_copies(docs).collect() if r.doc_id == 1} == {0, 1, 2}
+
+
 def test_repeat_by_copies(spark):
     rows = mix_corpus(200)
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, size int")
