@@ -13,7 +13,8 @@ earlier in the corpus. The steps, each a table in the shared folder:
    once a chunk, and each shard sorts what is left with a suffix array
    (Larsson-Sadakane refinement by doubling, in numpy) and common prefixes by
    Kasai's rule; suffixes that share 100 bytes form a class, and all of a class
-   but the earliest go.
+   but the earliest go. Contexts that are equal as a whole are one before that: they
+   are found by hash and verified byte by byte.
 4. Anchors with more than ``hot`` occurrences are spread over several shards.
    Their classes are merged across shards: sorted lists of class heads, dealt by
    content, are merged by binary search, and the later head goes.
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import drop, store
+from corvane.llm.tables import parts_for
 
 GRAM = 32
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -180,21 +182,21 @@ def row_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rep, rep == np.arange(n)
 
 
-def runs_of(p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows starting at ascending ``p`` -> stretches [start, stop) they cover."""
-    if not len(p):
-        return p, p
-    cut = np.flatnonzero(np.r_[True, np.diff(p) > 1])
-    return p[cut], p[np.r_[cut[1:], len(p)] - 1] + length
+def runs_of(chunk: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows at (chunk, at) -> chunk, start and stop of the stretches they cover, in order."""
+    order = np.lexsort((at, chunk))
+    chunk, at = chunk[order], at[order]
+    cut = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(chunk) != 0)]) if len(at) else np.zeros(0, np.int64)
+    return chunk[cut], at[cut], at[np.r_[cut[1:], len(at)].astype(np.int64)[: len(cut)] - 1] + length
 
 
-def shard_losers(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard's distinct contexts: (record, window) pairs that have an earlier equal one, and a mask of class heads.
+def shard_classes(lo: np.ndarray, hi: np.ndarray, ctx: np.ndarray, chunk: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of a shard's distinct contexts, class by class in corpus order.
 
     Returns records, window columns and whether the pair is the head of its class.
-    ``place`` is the corpus position of column 0 of each context.
+    (``chunk``, ``at``) is the corpus position of column 0 of each context.
     """
-    n = len(hashes)
+    n = len(lo)
     size = hi - lo + length  # bytes of the context that belong to its windows
     begin = np.cumsum(size + 1) - size - 1
     total = int((size + 1).sum())
@@ -206,10 +208,9 @@ def shard_losers(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx: np.nda
     lcp = common_prefixes(text, sa, length)
     window = col <= hi[record]
     classes = np.cumsum(lcp < length)
-    at = np.flatnonzero(window[sa])
-    s, c = sa[at], classes[at]
-    where = place[record[s]] + col[s]
-    order = np.lexsort((where, c))
+    use = np.flatnonzero(window[sa])
+    s, c = sa[use], classes[use]
+    order = np.lexsort((at[record[s]] + col[s], chunk[record[s]], c))
     s, c = s[order], c[order]
     head = np.r_[True, c[1:] != c[:-1]] if len(c) else np.zeros(0, bool)
     return record[s], col[s], head
@@ -221,7 +222,7 @@ def lay_out(docs: DataFrame, id_col: str, text: str, chunk_bytes: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, ids, held, size, kind = TaskContext.get().partitionId() * 4096, [], [], 0, pa.int64()
+        chunk, ids, held, size, kind = TaskContext.get().partitionId() << 32, [], [], 0, pa.int64()
 
         def row() -> pa.RecordBatch:
             raw = b"".join(held)
@@ -241,9 +242,8 @@ def lay_out(docs: DataFrame, id_col: str, text: str, chunk_bytes: int) -> DataFr
         if ids:
             yield row()
 
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(docs, 32 << 20)
     dealt = docs.select(F.col(id_col), F.col(text), F.xxhash64(F.col(text)).alias("_h")).repartitionByRange(n, id_col).sortWithinPartitions(id_col, "_h")
     return store(dealt.select(id_col, text).mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, blob binary"), "chunks")
 
@@ -272,7 +272,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield held[0][key], held
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, chunk_bytes: int = 2 << 20, hot: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, chunk_bytes: int = 2 << 20, hot: int = 5_000) -> tuple[DataFrame, DataFrame]:
     """(chunks, removals): removals are rows (chunk, packed stretches of removed bytes)."""
     side, w = length - GRAM, 2 * length - GRAM  # columns before the anchor, columns of a context
     chunks = lay_out(docs, id_col, text, chunk_bytes)
@@ -312,6 +312,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sent = chunks.mapInArrow(send_hashes, "bucket bigint, chunk bigint, h binary, n binary")
     back = store(sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(keep_repeated, "chunk bigint, h binary, n binary"), "repeated")
 
+    meta_kind = np.dtype([("h", "<u8"), ("chunk", "<i8"), ("at", "<i4"), ("salts", "<i4")])
+
     def pack(start: np.ndarray, stop: np.ndarray) -> bytes:
         return np.stack([start, stop], axis=1).astype("<i4").tobytes()
 
@@ -347,10 +349,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([pack(start, stop)], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "chunk", "spans", "meta", "ctx"])
                 i = kept_at
                 salts = -(-count[i].astype(np.int64) // hot)
-                shard = ((key[i] * _MIX[1]) >> np.uint64(20)).astype(np.int64) + np.where(salts > 1, row["chunk"] % np.maximum(salts, 1), 0)
+                own = row["chunk"] + (row["chunk"] >> 32)  # partition and number in it
+                shard = ((key[i] * _MIX[1]) >> np.uint64(20)).astype(np.int64) + np.where(salts > 1, own % np.maximum(salts, 1), 0)
                 shard %= n_parts
-                meta = np.zeros(len(i), [("h", "<u8"), ("place", "<i8"), ("salts", "<i4")])
-                meta["h"], meta["place"], meta["salts"] = key[i], (row["chunk"] << 32) + a[i] - side, salts
+                meta = np.zeros(len(i), meta_kind)
+                meta["h"], meta["chunk"], meta["at"], meta["salts"] = key[i], row["chunk"], a[i] - side, salts
                 order = np.argsort(shard, kind="stable")
                 shard, meta, kept = shard[order], meta[order], kept[order]
                 cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
@@ -358,17 +361,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     yield pa.record_batch([pa.array([shard[x]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([b""], pa.binary()), pa.array([meta[x:y].tobytes()], pa.binary()), pa.array([pa.compress(kept[x:y].tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["shard", "chunk", "spans", "meta", "ctx"])
         return
 
-    listed = back.groupBy("chunk").agg(F.collect_list(F.struct("h", "n")).alias("back"))
-    routed = store(chunks.select("chunk", "sizes", "blob").join(listed, "chunk").mapInArrow(contexts, "shard bigint, chunk bigint, spans binary, meta binary, ctx binary"), "contexts")
+    listed = back.repartition(n_parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("h", "n")).alias("back"))
+    routed = store(chunks.select("chunk", "sizes", "blob").repartition(n_parts, "chunk").join(listed, "chunk").mapInArrow(contexts, "shard bigint, chunk bigint, spans binary, meta binary, ctx binary"), "contexts")
     drop(back)
 
-    def by_chunk(place: np.ndarray, stop: np.ndarray) -> list[tuple[int, bytes]]:
-        """Corpus stretches -> (chunk, packed offsets)."""
-        order = np.argsort(place)
-        place, stop = place[order], stop[order]
-        chunk = place >> 32
-        cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(place) else np.zeros(0, np.int64)
-        return [(int(chunk[x]), pack(place[x:y] & 0xFFFFFFFF, stop[x:y] & 0xFFFFFFFF)) for x, y in zip(cut, np.r_[cut[1:], len(place)].astype(np.int64), strict=True)] if len(place) else []
+    def by_chunk(chunk: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, bytes]]:
+        """Stretches -> (chunk, packed offsets)."""
+        order = np.argsort(chunk, kind="stable")
+        chunk, start, stop = chunk[order], start[order], stop[order]
+        cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, np.int64)
+        return [(int(chunk[x]), pack(start[x:y], stop[x:y])) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(chunk)], strict=True)] if len(chunk) else []
 
     def out_rows(spans: list[tuple[int, bytes]], heads: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.record_batch(
@@ -376,29 +378,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             names=["chunk", "spans", "bucket", "heads"],
         )
 
-    head_kind = [("w", f"S{length}"), ("place", "<i8")]
+    head_kind = [("w", f"S{length}"), ("chunk", "<i8"), ("at", "<i4")]
 
     def sort_part(meta: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         """The suffix array of the contexts of some whole anchors."""
         lo, hi = rows[:, w].astype(np.int64), rows[:, w + 1].astype(np.int64)
-        record, col, head = shard_losers(meta["h"], lo, hi, rows, meta["place"], length)
-        where = meta["place"][record] + col
-        p = np.sort(where[~head])
+        record, col, head = shard_classes(lo, hi, rows, meta["chunk"], meta["at"].astype(np.int64), length)
+        chunk, at = meta["chunk"][record], meta["at"][record] + col
         heads = []
         merge = head & (meta["salts"][record] > 1)
         if merge.any():
             view = np.lib.stride_tricks.sliding_window_view(rows[:, :w], length, axis=1)
             items = np.zeros(int(merge.sum()), head_kind)
             items["w"] = np.ascontiguousarray(view[record[merge], col[merge]]).view(f"S{length}")[:, 0]
-            items["place"] = where[merge]
+            items["chunk"], items["at"] = chunk[merge], at[merge]
             bucket = (gram_hashes(np.ascontiguousarray(view[record[merge], col[merge]][:, :GRAM]).reshape(-1))[::GRAM] ^ gram_hashes(np.ascontiguousarray(view[record[merge], col[merge]][:, -GRAM:]).reshape(-1))[::GRAM]) % np.uint64(n_parts)
             for b in np.unique(bucket).tolist():
-                heads.append((int(b), np.sort(items[bucket == b], order=["w", "place"]).tobytes()))
-        return out_rows(by_chunk(*runs_of(p, length)), heads)
+                own = items[bucket == b]
+                heads.append((int(b), own[np.argsort(own["w"], kind="stable")].tobytes()))
+        return out_rows(by_chunk(*runs_of(chunk[~head], at[~head], length)), heads)
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _grouped(batches, "shard"):
-            meta = np.concatenate([np.frombuffer(r["meta"], [("h", "<u8"), ("place", "<i8"), ("salts", "<i4")]) for r in found])
+            meta = np.concatenate([np.frombuffer(r["meta"], meta_kind) for r in found])
             rows = np.empty((len(meta), w + 2), np.uint8)
             at = 0
             for r in found:
@@ -406,11 +408,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 rows[at : at + n] = np.frombuffer(pa.decompress(r.pop("ctx"), decompressed_size=n * (w + 2), codec="zstd", asbytes=True), np.uint8).reshape(n, w + 2)
                 at += n
             del found
-            order = np.argsort(meta["place"], kind="stable")
+            order = np.lexsort((meta["at"], meta["chunk"]))
             meta, rows = meta[order], rows[order]
             _, own = row_groups(rows)
             lost = ~own
-            yield out_rows(by_chunk(meta["place"][lost] + rows[lost, w], meta["place"][lost] + rows[lost, w + 1] + length), [])
+            yield out_rows(by_chunk(meta["chunk"][lost], meta["at"][lost] + rows[lost, w], meta["at"][lost] + rows[lost, w + 1] + length), [])
             meta, rows = meta[own], rows[own]
             # equal windows elect anchors at equal distances, so those of one context, which share one, all differ
             order = np.argsort(meta["h"], kind="stable")
@@ -429,18 +431,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def merge_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _grouped(batches, "bucket"):
-            merged = np.zeros(0, head_kind)
-            losers = []
+            merged, losers = np.zeros(0, head_kind), [np.zeros(0, head_kind)]
             for r in found:
                 new = np.frombuffer(r["heads"], head_kind)
                 at = np.searchsorted(merged["w"], new["w"])
                 same = (at < len(merged)) & (merged["w"][np.minimum(at, max(len(merged) - 1, 0))] == new["w"]) if len(merged) else np.zeros(len(new), bool)
-                old = at[same]
-                losers.append(np.maximum(merged["place"][old], new["place"][same]))
-                merged["place"][old] = np.minimum(merged["place"][old], new["place"][same])
+                old, given = merged[at[same]], new[same]
+                first = (given["chunk"] < old["chunk"]) | (given["chunk"] == old["chunk"]) & (given["at"] < old["at"])
+                losers.append(np.where(first, old, given))
+                merged[at[same]] = np.where(first, given, old)
                 merged = np.insert(merged, at[~same], new[~same])
-            p = np.sort(np.concatenate(losers))
-            yield out_rows(by_chunk(*runs_of(p, length)), [])
+            gone = np.concatenate(losers)
+            yield out_rows(by_chunk(*runs_of(gone["chunk"], gone["at"].astype(np.int64), length)), [])
 
     schema = "chunk bigint, spans binary, bucket bigint, heads binary"
     shards = routed.filter("shard >= 0").select("shard", "meta", "ctx")
@@ -478,5 +480,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = pa.schema([("id", to_arrow_type(kind)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))] + [("kept", pa.binary())] * keep_text)
-    listed = removals.groupBy("chunk").agg(F.collect_list("spans").alias("removed"))
-    return chunks.join(listed, "chunk", "left").mapInArrow(cut, f"id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>" + ", kept binary" * keep_text)
+    n = parts_for(chunks, 32 << 20)
+    listed = removals.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list("spans").alias("removed"))
+    return chunks.repartition(n, "chunk").join(listed, "chunk", "left").mapInArrow(cut, f"id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>" + ", kept binary" * keep_text)

@@ -19,3 +19,14 @@ def row_key(*values: Column) -> Column:
 def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
     """``docs`` as one column ``row`` beside ``more``, so that no name of the caller's meets one of ours."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, as the optimizer knows them; nothing runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def parts_for(df: DataFrame, bytes_each: int) -> int:
+    """Partitions of about ``bytes_each`` for what ``df`` reads, ``spark.sql.shuffle.partitions`` at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-input_bytes(df) // bytes_each), 1 << 20))

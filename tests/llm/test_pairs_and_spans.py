@@ -141,6 +141,20 @@ def test_removed_spans(spark, seed, chunk_bytes, hot):
     assert got == sorted(spans(rows).values())
 
 
+def test_chunk_numbers_of_partitions_do_not_meet(spark):
+    """One chunk a document, thousands to a partition."""
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        chunks = suffix_dedup.lay_out(docs, "doc_id", "text", 1)
+        assert chunks.select("chunk").distinct().count() == chunks.count() == 10_000
+        rows = chunks.orderBy("chunk").selectExpr("ids[0] AS id").collect()
+        assert [r.id for r in rows] == list(range(10_000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_suffix_ranks_and_prefixes():
     rng = np.random.default_rng(4)
     text = rng.integers(0, 3, 400).astype(np.int32)
