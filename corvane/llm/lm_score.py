@@ -6,7 +6,7 @@
    Counts thus cover all training documents, and no list of words is in one place.
 3. The ``vocabulary`` most frequent words are the model's; any other word is UNKNOWN
    times its smoothed share of the words outside the vocabulary.
-4. Training passes over every training document once, in ``rounds``: in a round all
+4. Training passes over every training document once (a small corpus several times), in ``rounds``: in a round all
    tasks start from the same parameters, learn from their chunks, and the parameters
    are averaged by tokens, in slices.
 5. Every document is scored as a whole, its state carried across windows.
@@ -223,8 +223,8 @@ def lanes_for(tokens: int) -> int:
     return max(8, min(512, tokens // 2048))
 
 
-def train_round(streams: DataFrame, model: GatedModel, rate: float, pool_tokens: int, slice_bytes: int = 1 << 18) -> GatedModel:
-    """The model after all ``streams`` have been learned from, side by side, and averaged by tokens."""
+def train_round(streams: DataFrame, model: GatedModel, rate: float, pool_tokens: int, passes: int = 1, slice_bytes: int = 1 << 18) -> GatedModel:
+    """The model after all ``streams`` have been learned from (each pool ``passes`` times), side by side, and averaged by tokens."""
     spark = streams.sparkSession
     sent = spark.sparkContext.broadcast((model.p, model.first))
 
@@ -240,9 +240,10 @@ def train_round(streams: DataFrame, model: GatedModel, rate: float, pool_tokens:
                         pool.append(d)
                         size += len(d)
                 if size >= pool_tokens:
-                    own.learn(pool, rate, lanes_for(size))
+                    for _ in range(passes):
+                        own.learn(pool, rate, lanes_for(size))
                     pool, size, seen = [], 0, seen + size
-        if pool:
+        for _ in range(passes if pool else 0):
             own.learn(pool, rate, lanes_for(size))
         if seen + size:
             raw, source = own.pack(), TaskContext.get().partitionId()
@@ -270,9 +271,13 @@ def train_round(streams: DataFrame, model: GatedModel, rate: float, pool_tokens:
 
 
 def score_corpus(
-    docs: DataFrame, train: str, id_col: str = "doc_id", text: str = "text", vocabulary: int = 8190, hidden: int = 16, n_classes: int = 64, rounds: int = 3, rate: float = 0.1, seed: int = 5, chunk_tokens: int = 500_000, pool_tokens: int = 1_000_000
+    docs: DataFrame, train: str, id_col: str = "doc_id", text: str = "text", vocabulary: int = 8190, hidden: int = 16, n_classes: int = 64, rounds: int = 3, rate: float = 0.1, seed: int = 5, chunk_tokens: int = 500_000, pool_tokens: int = 1_000_000, least_tokens: int = 3_000_000, most_passes: int = 8
 ) -> DataFrame:
-    """Per document: id, n_tokens, n_known, train_tokens, base_score and score (log10); ``train`` names a Boolean column."""
+    """Per document: id, n_tokens, n_known, train_tokens, base_score and score (log10); ``train`` names a Boolean column.
+
+    A corpus of less than ``least_tokens`` is learned from several times, until that many
+    have been seen, ``most_passes`` times at most; a larger one once.
+    """
     spark = docs.sparkSession
     if vocabulary + 2 > 65_536:
         raise ValueError("the vocabulary's numbers have 16 bits")
@@ -284,8 +289,9 @@ def score_corpus(
     streams = to_vocabulary(encoded, counted, gathered, parts)
     drop(encoded, counted)
     model = GatedModel.start(gathered["counts"], hidden, n_classes, seed)
+    passes = min(most_passes, math.ceil(least_tokens / max(gathered["n"], 1))) if gathered["n"] < least_tokens else 1
     for r in range(rounds):
-        model = train_round(streams.filter(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == r), model, rate, pool_tokens)
+        model = train_round(streams.filter(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == r), model, rate, pool_tokens, passes)
     sent = spark.sparkContext.broadcast((model.p, model.first))
     n = gathered["n"]
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import html_extract, langid, lm_score, recurrent
+from corvane.llm.queries import queries
 from corvane.llm.tables import table
 
 SF = "/root/testdata/sf0.01"
@@ -143,16 +144,17 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_page():
-    assert html_extract.Page(PAGE).main_text() == "Head&line\nSub\nOne two bold three\nFour <five> é\nitem a\nitem b\nc1\nc2\nx y"
+    assert html_extract.Page(PAGE, html_extract.lone(PAGE)).main_text() == "Head&line\nSub\nOne two bold three\nFour <five> é\nitem a\nitem b\nc1\nc2\nx y"
 
 
 @pytest.mark.parametrize(("html", "want"), [
     ("", ""), ("plain text", "plain text"), ("<p>a<p>b <di", "a\nb"), ("<nav><a>x</a><article><p>in</p></article>", "in"), ("<p>1 < 2 & 3", "1 < 2 & 3"),
     ("<div><ul><li><a href=x>menu item</a></ul><p>text here</p></div>", "text here"), ("<p>" + "a" * 200_000 + "</p>", "a" * 200_000), ("<b>" * 5000 + "deep", "deep"),
+    ('<img alt="' + "x" * 20_000 + '>leak">text', "text"), ("<p a=it's>b</p><p>it's</p>", "b\nit's"), ("<div>" * 3000 + "</p>" * 3000 + "z", "z"),
     ("<script>never closed", ""), ('<p title="a > b">t</p>', "t"), ('<i title="unclosed>x</i><p>y</p>', "x\ny"), ("</p></div>z", "z"), ("<textarea>q</textarea>r", "r"),
 ])
 def test_odd_pages(html, want):
-    assert html_extract.Page(html).main_text() == want
+    assert html_extract.Page(html, html_extract.lone(html)).main_text() == want
 
 
 def site(n: int) -> list[tuple]:
@@ -175,3 +177,36 @@ def test_repeated_branches_are_cut(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
     joined = {r.id: r.text for r in html_extract.extract(pages, broadcast_rows=0).collect()}
     assert joined == {k: r.text for k, r in found.items()}
+
+
+def test_the_tree_decides(spark):
+    """Menus of changing words, repeated lines and a misleading name, none of which a list of names would settle."""
+    rng = random.Random(2)
+    say = lambda k: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(99)) for _ in range(k))
+    menu = lambda: "".join(f'<div class="q1"><a href="/{k}">{say(2)}</a></div>' for k in range(5))
+    texts = {k: (say(4), say(30), say(25)) for k in range(12)}
+    page = lambda k: f'<div class="u">{menu()}</div><div class="promo-wrap"><h1>{texts[k][0]}</h1><p>{texts[k][1]}</p><div class="z">Written by our team</div><p>{texts[k][2]}</p></div>'
+    pages = spark.createDataFrame([(k, f"http://h.example.org/{k}", page(k)) for k in texts], "page_id long, url string, html string")
+    assert {r.id: r.text for r in html_extract.extract(pages).collect()} == {k: "\n".join(t) for k, t in texts.items()}
+    off = {r.id: r.text for r in html_extract.extract(pages, threshold=-1.0).collect()}
+    assert all("Written by" in off[k] and len(off[k].split("\n")) == 9 for k in texts)
+
+
+def test_importance_by_the_definition(spark):
+    """Presentation and content entropies of a small site against sums over its pages."""
+    htmls = [f"<div><p>{a}</p></div><div class=b>same</div><div class=c>{a}<p>x</p></div>" for a in ("k", "k", "l", "m", "n")]
+    htmls[4] = htmls[4].replace("<p>x</p>", "<p>x</p><ul><li>y</li></ul>")
+    pages = spark.createDataFrame([(k, "http://s.example.org/", h + f"<i>{k}</i>") for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = {}
+    for r in html_extract.style_tree(pages).collect():
+        got.setdefault((r.depth, int(r.pages)), []).append((round(r.presentation, 6), None if r.content is None else round(r.content, 6)))
+    log, m = math.log, math.log(5)
+    entropy = lambda counts: -sum(c / 5 * log(c / 5) for c in counts) / m
+    firsts = round(1 - log(2) / m / 4, 6)  # of four texts one is on two pages
+    assert sorted(got[1, 5], key=str) == sorted([(0.0, None), (0.0, None), (round(entropy([4, 1]), 6), None), (1.0, 1.0)], key=str)
+    assert (1.0, firsts) in got[2, 5] and (1.0, 0.0) in got[2, 5] and (1.0, firsts) in got[3, 5] and (1.0, 0.0) in got[3, 5]
+
+
+def test_registered_scores_beat_the_base_on_held_out_documents(spark):
+    rows = queries()["op6_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)

@@ -196,3 +196,12 @@ def test_order_of_rules_does_not_change_a_verdict(spark):
     docs = spark.createDataFrame([(k, "word%d " % k * k) for k in range(40, 90)], "doc_id long, text string")
     a = {r.doc_id: r.kept for r in quality.quality_report(docs, sample_rows=1).collect()}
     assert a == {r.doc_id: r.kept for r in quality.quality_report(docs, sample_rows=50).collect()}
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    """A rule that rejects most at no cost comes first, one that rejects nothing dearly comes last."""
+    docs = spark.createDataFrame([(k, "word%d other " % k * (400 if k % 4 == 0 else 10)) for k in range(200)], "doc_id long, text string")
+    rules = lambda m: [quality.Rule("dear", m["n_repeat_words"] < 0), quality.Rule("cheap", m["n_words"] < 50), quality.Rule("mild", m["n_upper"] > 10**6)]
+    assert quality.order_rules(docs, rules)[0] == "cheap"
+    costs = {name: (share, cost) for name, share, cost in quality.rule_costs(docs, rules)}
+    assert abs(costs["cheap"][0] - 0.75) < 0.1 and costs["dear"][0] == 0 and costs["dear"][1] > costs["cheap"][1]
