@@ -33,16 +33,10 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-N_QUERIES = 20  # dense queries: the vectors whose id is below this, a stated query set against all rows
-
 # --- shared views ------------------------------------------------------------------------------------------------------
 
 
 def dense_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-
-
-def spread_queries(spark: SparkSession, d: str) -> DataFrame:
     """The vectors whose id is divisible by 50 as queries, against all rows."""
     return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
@@ -57,7 +51,7 @@ def dense_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 def label_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     """A second channel: points of a query's own label first by distance of ids."""
-    q = table(spark, d, "embeddings").filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), F.col("label"))
+    q = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label"))
     p = dense_points(spark, d).select("id", "label")
     pairs = p.join(F.broadcast(q), "label").select("qid", "id", (1.0 / (1 + F.abs(F.col("id") - F.col("qid")))).alias("score"))
     return retrieve.ranked(pairs, k)
@@ -80,13 +74,13 @@ SQL_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt
 
 def sql_dense(k: int, name: str = "dense") -> str:
     return f"""{name}_s AS (
-  SELECT a.vec_id AS qid, b.vec_id AS id, round(coalesce({SQL_COS}, 0), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < {N_QUERIES}
+  SELECT a.vec_id AS qid, b.vec_id AS id, round(coalesce({SQL_COS}, 0), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0
 ), {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {name}_s) WHERE rank <= {k})"""
 
 
 def sql_label(k: int, name: str = "lab") -> str:
     return f"""{name} AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
-  SELECT a.vec_id AS qid, b.vec_id AS id, round(1.0 / (1 + abs(b.vec_id - a.vec_id)), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < {N_QUERIES})) WHERE rank <= {k})"""
+  SELECT a.vec_id AS qid, b.vec_id AS id, round(1.0 / (1 + abs(b.vec_id - a.vec_id)), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0)) WHERE rank <= {k})"""
 
 
 SQL_TERM = """CASE WHEN t IN ('paid', 'payment', 'payments') THEN 'pay' WHEN t IN ('billing', 'bills') THEN 'invoice' WHEN t LIKE '%s' AND length(t) > 3 THEN t[:-2] ELSE t END"""
@@ -100,7 +94,7 @@ def ret01_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def ret03_ann_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.ann_topk(spread_queries(spark, d), dense_points(spark, d), 10)
+    return retrieve.ann_topk(dense_queries(spark, d), dense_points(spark, d), 10)
 
 
 @register(f"""WITH post AS (
@@ -130,14 +124,20 @@ def ret05_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.bm25_topk(item_terms(spark, d), document_terms(spark, d), 10)
 
 
-@register()
+SQL_ADLER = """((length(t) + coalesce(list_sum(list_transform(range(1, length(t) + 1), lambda i: (length(t) - i + 1) * ascii(t[i]))), 0)) % 65521)::BIGINT * 65536 + (1 + coalesce(list_sum(list_transform(range(1, length(t) + 1), lambda i: ascii(t[i]))), 0)) % 65521"""
+SQL_DEMO = f"""post AS (SELECT id, t, count(*) AS n FROM (SELECT doc_id AS id, unnest({SQL_TERMS}) AS t FROM documents) GROUP BY ALL), h AS (SELECT t, ({SQL_ADLER})::BIGINT AS h FROM (SELECT DISTINCT t FROM post))"""
+
+
+@register(f"""WITH {SQL_DEMO}, c AS (SELECT id, h % 64 AS i, sum(n)::DOUBLE AS v FROM post JOIN h USING (t) GROUP BY ALL), s AS (SELECT id, sqrt(sum(v * v)) AS norm FROM c GROUP BY id)
+SELECT doc_id, d.i AS i, round(coalesce(v / norm, 0), 6) AS value FROM (SELECT doc_id, unnest(range(64)) AS i FROM documents) d LEFT JOIN c ON c.id = doc_id AND c.i = d.i LEFT JOIN s ON s.id = doc_id""")
 def ret07_demo_dense(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.demo_dense(table(spark, d, "benchmark"), "item_id", "text")
+    made = retrieve.demo_dense(documents(spark, d).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
+    return made.select("doc_id", F.posexplode("vec").alias("i", "v")).select("doc_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("value"))
 
 
-@register()
+@register(f"WITH {SQL_DEMO} SELECT id AS doc_id, h % 100000 AS idx, sum(n)::DOUBLE AS val FROM post JOIN h USING (t) GROUP BY ALL")
 def ret08_demo_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.demo_sparse(table(spark, d, "benchmark"), "item_id", "text")
+    return retrieve.demo_sparse(documents(spark, d), "doc_id", "text").select("doc_id", F.col("idx").cast("long").alias("idx"), "val")
 
 
 @register("SELECT o_orderkey AS k, least(greatest(4 * (o_orderkey % 80 + 1), 20), 200) AS prefetch, greatest(least(greatest(4 * (o_orderkey % 80 + 1), 20), 200), o_orderkey % 80 + 1) AS pool FROM orders")
@@ -179,7 +179,7 @@ def ret17_dbsf(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def ret18_mmr(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieve.dense_topk(spread_queries(spark, d), dense_points(spark, d), 50)
+    hits = retrieve.dense_topk(dense_queries(spark, d), dense_points(spark, d), 50)
     return fusion.mmr(hits.join(dense_points(spark, d).select("id", "vec"), "id"), 0.5, 10, 50)
 
 
@@ -304,11 +304,11 @@ def ret39_collapse_equal(spark: SparkSession, d: str) -> DataFrame:
     return assemble.collapse_equal(hits).withColumn("n_equivalents", F.size("equivalents").cast("long")).drop("equivalents")
 
 
-@register("""WITH r AS (SELECT o_custkey AS qid, o_orderkey % 7 AS index, CASE WHEN o_orderkey % 13 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS score, o_orderkey AS arrival FROM orders WHERE o_custkey % 50 = 0),
+@register("""WITH r AS (SELECT o_custkey AS qid, o_orderkey % 7 AS index, CASE WHEN o_orderkey % 13 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS score, o_orderkey AS arrival FROM orders),
 f AS (SELECT * FROM r WHERE index BETWEEN 0 AND 4 AND NOT isnan(score) QUALIFY row_number() OVER (PARTITION BY qid, index ORDER BY arrival) = 1)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, index) AS rerank_rank FROM f""")
 def ret43_rerank_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").filter("o_custkey % 50 = 0").select(F.col("o_custkey").alias("qid"), (F.col("o_orderkey") % 7).alias("index"), F.when(F.col("o_orderkey") % 13 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("score"), F.col("o_orderkey").alias("arrival"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), (F.col("o_orderkey") % 7).alias("index"), F.when(F.col("o_orderkey") % 13 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("score"), F.col("o_orderkey").alias("arrival"))
     return fusion.valid_rerank_rows(rows, F.lit(5))
 
 
@@ -483,6 +483,12 @@ def chk05_fixed_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.fixed_windows(documents(spark, d).withColumnRenamed("doc_id", "document_id"), 1000, 800)
 
 
+@register()
+def chk05_hard_split(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as one oversize span each: cut at white space, stepping back by the overlap."""
+    return chunking.chunk(documents(spark, d), "hard_split", chunking.Config(400, 40), id_col="doc_id")
+
+
 @register("SELECT doc_id, strpos(text, 'the') > 0 AS exact, CASE WHEN strpos(text, 'the') > 0 THEN strpos(text, 'the') - 1 ELSE 0 END AS start_char, CASE WHEN strpos(text, 'the') > 0 THEN strpos(text, 'the') + 2 ELSE least(length(text), 3) END AS end_char FROM documents WHERE text IS NOT NULL")
 def chk06_chunk_bounds(spark: SparkSession, d: str) -> DataFrame:
     b = chunking.locate_bounds(F.col("text"), F.lit("the"), F.lit(0))

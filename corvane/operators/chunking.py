@@ -207,7 +207,11 @@ def table_chunks(text: str, cfg: Config) -> list[dict]:
     return out
 
 
-STRATEGIES: dict[str, Callable[[str, Config], list[dict]]] = {"markdown": markdown_chunks, "code": code_chunks, "semantic_heuristic": sentence_chunks, "xlsx": table_chunks}
+def hard_chunks(text: str, cfg: Config) -> list[dict]:
+    return [{"start_char": a, "end_char": b, "section_path": None} for a, b in hard_split(text, 0, len(text), cfg)]
+
+
+STRATEGIES: dict[str, Callable[[str, Config], list[dict]]] = {"hard_split": hard_chunks, "markdown": markdown_chunks, "code": code_chunks, "semantic_heuristic": sentence_chunks, "xlsx": table_chunks}
 
 
 def register_strategy(name: str, chunker: Callable[[str, Config], list[dict]]) -> None:
@@ -233,10 +237,21 @@ def chunk(docs: DataFrame, strategy: str, cfg: Config = Config(), id_col: str =
 
 
 def fixed_windows(docs: DataFrame, size: int, stride: int, id_col: str = "document_id", text: str = "text") -> DataFrame:
-    """Windows of ``size`` characters, ``stride`` apart, without looking at the text."""
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(stride)))
-    cut = docs.filter(F.length(text) > 0).select(F.col(id_col).alias("document_id"), F.col(text).alias("_t"), at.alias("start_char"))
-    return cut.select("document_id", (F.col("start_char") / stride).cast("int").alias("chunk_index"), "start_char", F.least(F.col("start_char") + size, F.length("_t")).alias("end_char"), F.substr(F.col("_t"), F.col("start_char") + 1, F.lit(size)).alias("text"))
+    """Windows of ``size`` characters, ``stride`` apart, without looking at the text.
+
+    A text is cut into pieces of ``stride`` characters in one pass; a window is a piece
+    and what it needs of those that follow.
+    """
+    def window(p: Column, i: Column) -> Column:
+        whole, rest = divmod(size - stride, stride) if size > stride else (0, 0)
+        following = [F.coalesce(F.get(F.col("_p"), i + k), F.lit("")) for k in range(1, whole + 1)]
+        last = F.left(F.coalesce(F.get(F.col("_p"), i + whole + 1), F.lit("")), F.lit(rest))
+        return F.concat(p, *following, last) if size >= stride else F.left(p, F.lit(size))
+
+    cut = docs.filter(F.length(text) > 0).select(F.col(id_col).alias("document_id"), F.length(text).alias("_n"), F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.{{1,{stride}}})"), 1).alias("_p"))
+    each = cut.select("document_id", "_n", F.posexplode(F.transform("_p", window)).alias("chunk_index", "text"))
+    start = F.col("chunk_index") * stride
+    return each.select("document_id", "chunk_index", start.alias("start_char"), F.least(start + size, F.col("_n")).alias("end_char"), "text")
 
 
 def route(mime: Column, filename: Column, text: Column) -> Column:

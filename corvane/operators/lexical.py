@@ -1,46 +1,84 @@
 """Lexical sidecar: exact, phrase and trigram matches over a record's fields.
 
 A field equal to the query scores 1.0, one that holds it as a phrase 0.9, any other
-the Jaccard of its trigrams if that reaches the threshold. Queries and fields meet
-by an equi-join on trigrams, not by pairs: a Jaccard of t needs a query of n trigrams
-to share one of its n - ceil(t n) + 1 rarest, and a phrase or an equal field holds
-all of the query's trigrams but the four at its ends, hence one of the five rarest.
+the Jaccard of its trigrams if that reaches the threshold. A block of queries is an
+inverted index of trigrams in each task; a batch of records counts the trigrams that
+its fields share with all queries of the block, and keeps its own best of each query.
+Records are read once a block and only these best are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import lexical_form
-from corvane.functions.vectors import jaccard, trigrams
+from corvane.operators.retrieve import query_blocks
 
 FIELDS = ("title", "section_title", "section_path", "document_path", "text")
 
 
-def sidecar_topk(queries: DataFrame, records: DataFrame, k: int, fields: Sequence[str] = FIELDS, threshold: float = 0.35) -> DataFrame:
+def trigram_set(value: str) -> set[str]:
+    padded = f"  {value}  "
+    return {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+
+def _matches(values: list[str], needles: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value, needle, score, is it exact) of all that match."""
+    index: dict[str, list[int]] = {}
+    sizes = np.zeros(len(needles), np.int64)
+    for n, needle in enumerate(needles):
+        found = trigram_set(needle)
+        sizes[n] = len(found)
+        for t in found:
+            index.setdefault(t, []).append(n)
+    lists = {t: np.array(v, np.int64) for t, v in index.items()}
+    none = np.zeros(0, np.int64)
+    out: list[tuple[int, int, float, bool]] = []
+    for v, value in enumerate(values):
+        own = trigram_set(value)
+        held = [lists[t] for t in own if t in lists]
+        shared = np.bincount(np.concatenate(held) if held else none, minlength=len(needles))
+        near = np.round(shared / (sizes + len(own) - shared), 9)
+        # a phrase or an equal field holds all of the query's trigrams but the four at its ends
+        for n in np.flatnonzero((near >= threshold) | (shared >= np.maximum(sizes - 4, 1))).tolist():
+            if value == needles[n]:
+                out.append((v, n, 1.0, True))
+            elif f" {needles[n]} " in f" {value} ":
+                out.append((v, n, 0.9, True))
+            elif near[n] >= threshold:
+                out.append((v, n, float(near[n]), False))
+    v, n, score, exact = zip(*out, strict=True) if out else ((), (), (), ())
+    return np.array(v, np.int64), np.array(n, np.int64), np.array(score, np.float64), np.array(exact, bool)
+
+
+def sidecar_topk(queries: DataFrame, records: DataFrame, k: int, fields: Sequence[str] = FIELDS, threshold: float = 0.35, block_queries: int = 20_000) -> DataFrame:
     """``queries``: qid, query; ``records``: id and ``fields`` -> qid, id, score, field, strategy, rank."""
-    q = queries.select("qid", lexical_form(F.col("query")).alias("needle")).filter("needle <> ''").withColumn("qt", trigrams(F.col("needle")))
+    q = queries.select("qid", lexical_form(F.col("query")).alias("needle")).filter("needle <> ''").orderBy("qid")
     values = F.filter(F.array(*[F.struct(F.lit(n).alias("place"), F.lit(f).alias("field"), lexical_form(F.col(f)).alias("value")) for n, f in enumerate(fields) if f in records.columns]), lambda v: v["value"] != "")
-    r = records.select("id", F.explode(values).alias("v")).select("id", "v.*").withColumn("rt", trigrams(F.col("value")))
-    wanted = q.select("qid", F.explode("qt").alias("t"))
-    freq = r.select(F.explode("rt").alias("t")).join(wanted.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("qid").orderBy(F.coalesce("df", F.lit(0)), "t")
-    size = F.count(F.lit(1)).over(Window.partitionBy("qid"))
-    need = F.greatest(size - F.ceil(F.lit(threshold) * size) + 1, F.lit(5))
-    probes = wanted.join(freq, "t", "left").withColumn("_n", F.row_number().over(w)).withColumn("_need", need).filter("_n <= _need").select("qid", "t")
-    found = r.select("id", "place", F.explode("rt").alias("t")).join(probes, "t").select("qid", "id", "place").distinct()
-    pairs = found.join(r, ["id", "place"]).join(q, "qid")
-    inside = F.contains(F.concat(F.lit(" "), F.col("value"), F.lit(" ")), F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))
-    near = F.round(jaccard(F.col("qt"), F.col("rt")), 9)
-    exact = F.col("value") == F.col("needle")
-    scored = pairs.withColumn("score", F.when(exact, 1.0).when(inside, 0.9).when(near >= threshold, near)).filter("score is not null").withColumn("strategy", F.when(exact | inside, "exact").otherwise("trigram"))
-    best = Window.partitionBy("qid", "id").orderBy(F.desc("score"), "place")
-    one = scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1")
+    r = records.select("id", F.explode(values).alias("v")).select("id", "v.place", "v.field", "v.value")
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {records.schema['id'].dataType.simpleString()}, place int, field string, score double, exact boolean"
+    found = None
+    for block in query_blocks(q, block_queries):
+        names, needles = [x[0] for x in block], [x[1] for x in block]
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, needles=needles) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v, n, score, exact = _matches(batch.column(3).to_pylist(), needles, threshold)
+                at = pa.array(v)
+                yield pa.record_batch([pa.array([names[x] for x in n.tolist()]), *[batch.column(c).take(at) for c in range(3)], pa.array(score), pa.array(exact)], names=["qid", "id", "place", "field", "score", "exact"])
+
+        part = r.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = r.sparkSession.createDataFrame([], schema)
+    best = found.groupBy("qid", "id").agg(F.max_by(F.struct("field", "exact"), F.struct("score", -F.col("place"))).alias("b"), F.max("score").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "score", "field", "strategy", "rank")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "score", "b.field", F.when(F.col("b.exact"), "exact").otherwise("trigram").alias("strategy"), "rank")
 
 
 def bounded_records(records: DataFrame, order: str, text_bytes: str, max_entries: int = 100_000, max_bytes: int = 256 << 20, scope: str = "collection") -> DataFrame:

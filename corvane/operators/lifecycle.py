@@ -156,3 +156,40 @@ def recover_swap(spark, path: str) -> None:
     if not fs.exists(hadoop(path)) and fs.exists(hadoop(f"{path}.old")):
         fs.rename(hadoop(f"{path}.old"), hadoop(path))
     fs.delete(hadoop(f"{path}.new"), True)
+
+
+def swap_buckets(df: DataFrame, path: str, bucket: str = "bucket") -> None:
+    """Put the buckets that ``df`` holds in place of those of the same number at ``path``; the others stay untouched.
+
+    New buckets are written in one job under ``_new``, which readers pass over, and
+    moved one by one, the old one to ``_old`` first. One writer at a time.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    df.repartition(bucket).write.partitionBy(bucket).parquet(f"{path}/_new")
+    for f in fs.listStatus(hadoop(f"{path}/_new")):
+        name = f.getPath().getName()
+        if f.isDirectory() and name.startswith(f"{bucket}="):
+            if fs.exists(hadoop(f"{path}/{name}")):
+                fs.mkdirs(hadoop(f"{path}/_old"))
+                fs.rename(hadoop(f"{path}/{name}"), hadoop(f"{path}/_old/{name}"))
+            fs.rename(hadoop(f"{path}/_new/{name}"), hadoop(f"{path}/{name}"))
+    fs.delete(hadoop(f"{path}/_new"), True)
+    fs.delete(hadoop(f"{path}/_old"), True)
+
+
+def recover_buckets(spark, path: str) -> bool:
+    """After a job that died on the way: buckets that were taken away and not replaced return. Whether there is a table at all."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)):
+        return False
+    if fs.exists(hadoop(f"{path}/_old")):
+        for f in fs.listStatus(hadoop(f"{path}/_old")):
+            name = f.getPath().getName()
+            if not fs.exists(hadoop(f"{path}/{name}")):
+                fs.rename(hadoop(f"{path}/_old/{name}"), hadoop(f"{path}/{name}"))
+        fs.delete(hadoop(f"{path}/_old"), True)
+    fs.delete(hadoop(f"{path}/_new"), True)
+    return any(f.isDirectory() for f in fs.listStatus(hadoop(path)))

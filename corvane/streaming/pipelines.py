@@ -10,29 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corvane.operators.lifecycle import recover_swap, swap_in, upsert
+from corvane.operators.lifecycle import recover_buckets, swap_buckets, upsert
 
 
 def read_json(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "line_no", once: bool = True) -> StreamingQuery:
-    """Upsert each micro-batch into the Parquet table at ``target``.
+def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "line_no", once: bool = True, buckets: int = 64) -> StreamingQuery:
+    """Upsert each micro-batch into the Parquet table at ``target``, which lies in ``buckets`` by hash of the key.
 
-    A batch that runs again after a crash gives the same table; a crash between the
-    two renames of a swap is repaired before the next batch.
+    A batch rewrites the buckets that its keys fall into and no others. One that runs
+    again after a crash gives the same table; a crash between the renames of a bucket is
+    repaired before the next batch.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        recover_swap(spark, target)
-        new = batch
-        try:
-            old = spark.read.parquet(target)
-        except Exception:  # the first batch
-            old = spark.createDataFrame([], batch.drop(order).schema)
-        swap_in(upsert(old, new, key, order), target)
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+        if not touched:
+            return
+        if recover_buckets(spark, target):
+            old = spark.read.schema(dealt.drop(order).schema).parquet(target).filter(F.col("bucket").isin(touched))
+        else:
+            old = spark.createDataFrame([], dealt.drop(order).schema)
+        swap_buckets(upsert(old, dealt, key, order), target)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

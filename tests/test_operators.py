@@ -241,3 +241,52 @@ def test_files_and_lines(spark, tmp_path):
     (tmp_path / "u.txt").write_text("# c\nhttps://e.com/a#1\nhttps://e.com/a#2\n")
     with pytest.raises(ValueError):
         readers.url_list(spark, f"{tmp_path}/u.txt")
+
+
+def test_batches_that_are_refused_are_halved():
+    from corvane.operators.indexing import send_in_halves
+
+    sent, tried = [], []
+
+    def send(rows):
+        tried.append(len(rows))
+        if len(rows) > 8:
+            raise TimeoutError
+        sent.extend(rows)
+
+    send_in_halves(list(range(64)), send)
+    assert sent == list(range(64)) and max(tried) == 64
+    with pytest.raises(TimeoutError):
+        send_in_halves(list(range(256)), lambda rows: (_ for _ in ()).throw(TimeoutError()))
+    with pytest.raises(ValueError):
+        send_in_halves([1, 2], lambda rows: (_ for _ in ()).throw(ValueError()))
+
+
+def test_dimensions_and_segments():
+    from corvane.operators.indexing import check_segment, resolve_dimensions
+
+    known = {("p", "m"): {"default": 8, "allowed": [4, 8]}, ("p", "f"): {"default": 8, "fixed": True}, ("p", "x"): {"default": 8, "most": 16}}
+    assert [resolve_dimensions(known, *a) for a in ((" P", "m", None), ("p", "m", 4), ("p", "f", 8), ("p", "x", 3), ("q", "z", 5))] == [8, 4, 8, 3, 5]
+    for a in (("q", "z", None), ("p", "m", 5), ("p", "f", 4), ("p", "x", 17), ("p", "m", True), ("p", "m", 0)):
+        with pytest.raises(ValueError):
+            resolve_dimensions(known, *a)
+    assert check_segment("collection", "a-b") == "a-b"
+    for bad in ("", " a", "..", "a/b", "A", "a\\b"):
+        with pytest.raises(ValueError):
+            check_segment("collection", bad)
+
+
+def test_wrong_payloads_are_refused(spark):
+    from corvane.operators import payloads
+
+    with pytest.raises(Exception, match="no text"):
+        payloads.result_rows(spark.createDataFrame([(1, '{"text":5,"content_type":"x"}', 0.5)], "id int, payload string, score double")).collect()
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("A TITLE\n\n\n\n• one\n2) two", "## A Title\n\n- one\n2) two"), ("Short Title\nends here.\n    code\n", "## Short Title\nends here.\n    code\n"), ("ABC\nIt\n- ", "ABC\n## It\n-"), ("\n\nx", "x"),
+])
+def test_plain_text(text, want):
+    from corvane.operators.convert import plain_to_markdown
+
+    assert plain_to_markdown(text) == want
