@@ -3,11 +3,13 @@
 A byte-level BPE never joins bytes across the boundaries of its word pattern. A
 run of non-space characters with at most one space before it, and each run of
 white space as the pattern cuts it, are thus encoded alike alone and in a text:
-pieces are encoded once by the library and then looked up.
+pieces are encoded once by the library and then looked up. Files of other kinds are
+encoded text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 
@@ -118,7 +120,35 @@ class PieceEncoder:
         return np.split(ids, ends[:-1]) if at else []
 
 
-def encoder(path: str) -> PieceEncoder:
+class WholeEncoder:
+    """Any other tokenizer of the library: whole texts, as it encodes them, and the offsets that it gives."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spans(self, texts: list[str]) -> list[np.ndarray]:
+        """First character and end of each token, by text."""
+        return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def by_pieces(path: str) -> bool:
+    """Whether a file is a plain byte-level BPE with the usual word pattern, for which pieces may be encoded apart."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return plain and spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+
+
+def encoder(path: str) -> PieceEncoder | WholeEncoder:
     """One encoder a worker process and file: kept on the library's module, for tasks that follow."""
     import os
 
@@ -127,7 +157,7 @@ def encoder(path: str) -> PieceEncoder:
 
     kept = vars(tokenizers).setdefault("_corvane_encoders", {})
     if path not in kept:
-        kept[path] = PieceEncoder(path)
+        kept[path] = PieceEncoder(path) if by_pieces(path) else WholeEncoder(path)
     return kept[path]
 
 

@@ -5,13 +5,16 @@ it. Each word gets a log-probability per candidate from hashed character n-grams
 Viterbi with a penalty for a switch then labels every word, and runs of one label
 are the spans. The document's language is the one with most letters in its spans.
 
-The model counts all training rows: a table of languages by ``slots`` n-gram slots,
-so its size is bounded by ``slots`` and ``max_languages`` however large the corpus.
+The model counts all training rows: a table of languages by n-gram slots. It has
+``cells`` cells at most: ``slots`` to a language up to 256 languages, fewer beyond, so
+that its size is bounded however large the corpus and however many its languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so
 are all if nothing was learned; a word whose script no language uses narrows
 nothing; ties go to the language first in code point order; rows are labelled each
-on its own.
+on its own. A word's script is that of its first character; scripts without spaces
+give words as long as their sentences. Rows without id are learned from by no fold
+of :func:`fold_of` and are never held out.
 """
 
 from __future__ import annotations
@@ -79,8 +82,11 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in found if w.isalpha() or any(c.isalpha() for c in w)]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = 1 << 15, max_languages: int = 256, room: int = 200_000) -> dict:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = 1 << 15, cells: int = 1 << 23, room: int = 200_000) -> dict:
     """The model of all rows of ``docs`` with a text and a language."""
+    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
+    while slots > 256 and slots * labelled.select(lang).distinct().limit(cells // 256).count() > cells:
+        slots //= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(slots + 1, np.int64))
@@ -111,21 +117,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
         if scripts:
             yield pa.record_batch([pa.array([f"{c}\t{s}" for c, s in scripts]), pa.array([-1] * len(scripts), pa.int64()), pa.array(list(scripts.values()), pa.int64())], names=["lang", "slot", "n"])
 
-    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
-    if labelled.select(lang).distinct().limit(max_languages + 1).count() > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     rows = labelled.mapInArrow(run, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     counts = rows[rows.slot >= 0]
     codes = sorted(set(counts.lang), key=lambda s: s.encode())
     table = np.zeros((slots + 1, len(codes)), np.float64)
-    table[counts.slot.to_numpy(), [codes.index(c) for c in counts.lang]] = counts.n
+    at = {c: k for k, c in enumerate(codes)}
+    table[counts.slot.to_numpy(), [at[c] for c in counts.lang]] = counts.n
     seen = table[:-1]
     logp = (np.log(seen + 0.5) - np.log(seen.sum(axis=0) + 0.5 * slots)).astype(np.float32)
     use: dict[str, np.ndarray] = {}
     for key, n in zip(rows.lang[rows.slot < 0], rows.n[rows.slot < 0], strict=True):
         code, s = key.rsplit("\t", 1)
-        if n >= 0.001 * table[slots, codes.index(code)]:
-            use.setdefault(s, np.zeros(len(codes), bool))[codes.index(code)] = True
+        if n >= 0.001 * table[slots, at[code]]:
+            use.setdefault(s, np.zeros(len(codes), bool))[at[code]] = True
     return {"codes": codes, "logp": logp, "scripts": use, "slots": slots}
 
 
@@ -133,8 +137,8 @@ class Scorer(dict):
     """Words to rows of ``table``; scores are kept while there is room."""
 
     def __init__(self, model: dict, room: int = 300_000):
-        self.model, self.room, self.fresh = model, room, []
         k = len(model["codes"])
+        self.model, self.room, self.fresh = model, min(room, (1 << 24) // max(k, 1)), []
         self.may = np.array([model["scripts"].get(name, np.ones(k, bool)) for _, name in [(0, ""), *RANGES]]).reshape(len(RANGES) + 1, k)
         self.table = np.zeros((0, k), np.float32)
 
@@ -221,6 +225,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", switch: float = 6.0, words_at_once: int = 1 << 18) -> DataFrame:
     """Per document: id, lang_pred, score (share of letters in spans of that language) and spans (lang, first word, words)."""
     codes = model["codes"]
+    words_at_once = max(1, min(words_at_once, (1 << 23) // max(len(codes), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

@@ -22,7 +22,7 @@ from corvane.llm.token_files import token_digest
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    """A public vocabulary file; any other path does as well."""
+    """A public vocabulary file; any other file of the tokenizers library does as well."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

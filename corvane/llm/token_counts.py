@@ -1,8 +1,8 @@
 """Token counts of fields and sections by offset-mapped attribution.
 
-Each whole document is encoded once. Its tokens' spans follow from the byte
-lengths of the vocabulary (a byte-level vocabulary loses no byte), mapped to
-characters; they are joined to the sections' spans by binary search on the
+Each whole document is encoded once. Its tokens' spans are the offsets of the library,
+or follow from the byte lengths of a plain byte-level vocabulary, which loses no byte,
+mapped to characters; they are joined to the sections' spans by binary search on the
 sections' bounds. A token that crosses a bound is allotted by an explicit rule:
 
 ``start``     to the section that holds its first character;
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.encoding import blocks, encoder
+from corvane.llm.encoding import WholeEncoder, blocks, encoder
 
 
 def byte_lengths(path: str) -> np.ndarray:
@@ -67,20 +67,42 @@ def allot(ids: np.ndarray, lengths: np.ndarray, raw: bytes, bounds: np.ndarray,
     return np.bincount(own, minlength=n), np.bincount(own[cross], minlength=n)
 
 
+def allot_spans(found: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`allot` for the character spans that a library gives; ``majority`` counts characters."""
+    start, stop = found[:, 0], np.maximum(found[:, 1], found[:, 0] + 1)
+    first = np.minimum(np.searchsorted(bounds, start, "right") - 1, len(bounds) - 2)
+    last = np.minimum(np.searchsorted(bounds, stop - 1, "right") - 1, len(bounds) - 2)
+    own, cross = first.copy(), np.flatnonzero(first != last)
+    if rule == "majority":
+        for k in cross.tolist():
+            own[k] = first[k] + int(np.argmax(np.minimum(stop[k], bounds[first[k] + 1 : last[k] + 2]) - np.maximum(start[k], bounds[first[k] : last[k] + 1])))
+    elif rule != "start":
+        raise ValueError(rule)
+    n = len(bounds) - 1
+    return np.bincount(own, minlength=n), np.bincount(own[cross], minlength=n)
+
+
+def attributed(vocabulary: str, texts: list[str], bounds: list[np.ndarray], rule: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, crossing tokens) of each text's sections."""
+    enc = encoder(vocabulary)
+    if isinstance(enc, WholeEncoder):
+        yield from (allot_spans(f, b, rule) for f, b in zip(enc.spans(texts), bounds, strict=True))
+    else:
+        lengths = byte_lengths(vocabulary)
+        yield from (allot(ids, lengths, t.encode(), b, rule) for ids, t, b in zip(enc.encode(texts), texts, bounds, strict=True))
+
+
 def section_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", rule: str = "majority", sections: Callable[[str], np.ndarray] = line_sections) -> DataFrame:
     """Per document and section: id, section (from 0), start_char, end_char, n_tokens, n_crossing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, lengths = encoder(vocabulary), byte_lengths(vocabulary)
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
                 out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for k, ids in zip(range(a, b), enc.encode(texts[a:b]), strict=True):
-                    if not texts[k]:
-                        continue
-                    bounds = sections(texts[k])
-                    n, crossing = allot(ids, lengths, texts[k].encode(), bounds, rule)
+                own = [k for k in range(a, b) if texts[k]]
+                cuts = [sections(texts[k]) for k in own]
+                for k, bounds, (n, crossing) in zip(own, cuts, attributed(vocabulary, [texts[k] for k in own], cuts, rule), strict=True):
                     for x, v in zip(out, (np.full(len(n), k), np.arange(len(n)), bounds[:-1], bounds[1:], n, crossing), strict=True):
                         x.append(v)
                 if out[0]:
@@ -99,15 +121,13 @@ def field_tokens(docs: DataFrame, fields: list[str], vocabulary: str, id_col: st
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, lengths = encoder(vocabulary), byte_lengths(vocabulary)
         for batch in batches:
             rows = list(zip(*[[t or "" for t in batch.column(k + 1).to_pylist()] for k in range(len(names))], strict=True))
             texts = [between.join(r) for r in rows]
             for a, b in blocks(texts):
                 at, field, count, crossing = [], [], [], []
-                for k, ids in zip(range(a, b), enc.encode(texts[a:b]), strict=True):
-                    sizes = [len(v) + len(between) * (j + 1 < len(names)) for j, v in enumerate(rows[k])]
-                    n, x = allot(ids, lengths, texts[k].encode(), np.concatenate([[0], np.cumsum(sizes)]), rule)
+                cuts = [np.cumsum([0, *[len(v) + len(between) * (j + 1 < len(names)) for j, v in enumerate(rows[k])]]) for k in range(a, b)]
+                for k, (n, x) in zip(range(a, b), attributed(vocabulary, texts[a:b], cuts, rule), strict=True):
                     at += [k] * len(names)
                     field += names
                     count += n.tolist()

@@ -210,3 +210,14 @@ def test_importance_by_the_definition(spark):
 def test_registered_scores_beat_the_base_on_held_out_documents(spark):
     rows = queries()["op6_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
+
+
+def test_hundreds_of_languages(spark):
+    rng = random.Random(3)
+    tongues = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)] for k in range(300)}
+    rows = [(k, " ".join(rng.choice(w) for _ in range(30)), code) for k, (code, w) in enumerate(list(tongues.items()) * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, cells=1 << 21)
+    assert len(model["codes"]) == 300 and model["slots"] * 300 <= 1 << 21
+    found = {r.id: r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), model).collect()}
+    assert sum(found[k] == code for k, _, code in rows) > 590

@@ -96,6 +96,27 @@ def test_section_tokens(spark, library, rule):
         token_counts.allot(np.array([1]), np.ones(5, np.int64), b"ab", np.array([0, 2]), "other")
 
 
+@pytest.mark.parametrize("rule", ["start", "majority"])
+def test_sections_of_another_tokenizer(spark, rule):
+    """A vocabulary whose words cannot be cut into pieces: ids and spans are the library's own, token by token."""
+    path = vocabulary("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    texts = [t for t in ODD if t] + ["One line\nTwo lines\n\nthree", "ÀÉ\n  x y\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in token_counts.section_tokens(docs, path, rule=rule).orderBy("id", "section").collect():
+        got.setdefault(r.id, []).append(r.n_tokens)
+    for k, t in enumerate(texts):
+        want = [0] * len(got[k])
+        ends = np.cumsum([len(x) for x in t.split("\n")]) + np.arange(1, t.count("\n") + 2)
+        for a, b in whole.encode(t, add_special_tokens=False).offsets:
+            held = [int(np.searchsorted(ends, c, "right")) for c in range(a, max(b, a + 1))]
+            pick = min(held[0], len(want) - 1) if rule == "start" else min(max(sorted(set(held)), key=held.count), len(want) - 1)
+            want[pick] += 1
+        assert got[k] == want
+
+
 def test_crossing_tokens_by_rule():
     ids, lengths, raw = np.array([0, 1]), np.array([4, 2]), b"abcdef"
     bounds = np.array([0, 1, 6])
