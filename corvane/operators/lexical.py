@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import lexical_form
 from corvane.operators.retrieve import query_blocks
@@ -62,6 +63,7 @@ def sidecar_topk(queries: DataFrame, records: DataFrame, k: int, fields: Sequenc
     values = F.filter(F.array(*[F.struct(F.lit(n).alias("place"), F.lit(f).alias("field"), lexical_form(F.col(f)).alias("value")) for n, f in enumerate(fields) if f in records.columns]), lambda v: v["value"] != "")
     r = records.select("id", F.explode(values).alias("v")).select("id", "v.place", "v.field", "v.value")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {records.schema['id'].dataType.simpleString()}, place int, field string, score double, exact boolean"
+    kind = to_arrow_type(queries.schema["qid"].dataType)
     found = None
     for block in query_blocks(q, block_queries):
         names, needles = [x[0] for x in block], [x[1] for x in block]
@@ -70,7 +72,7 @@ def sidecar_topk(queries: DataFrame, records: DataFrame, k: int, fields: Sequenc
             for batch in batches:
                 v, n, score, exact = _matches(batch.column(3).to_pylist(), needles, threshold)
                 at = pa.array(v)
-                yield pa.record_batch([pa.array([names[x] for x in n.tolist()]), *[batch.column(c).take(at) for c in range(3)], pa.array(score), pa.array(exact)], names=["qid", "id", "place", "field", "score", "exact"])
+                yield pa.record_batch([pa.array([names[x] for x in n.tolist()], kind), *[batch.column(c).take(at) for c in range(3)], pa.array(score), pa.array(exact)], names=["qid", "id", "place", "field", "score", "exact"])
 
         part = r.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

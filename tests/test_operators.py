@@ -25,7 +25,8 @@ def test_dense_topk_skips_rows_without_vectors(spark, monkeypatch):
     p = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [0.0, 1.0]), (4, [2.0, 0.2])], "id int, vec array<double>")
     want = [(1, 1), (1, 4), (1, 3), (2, 1), (2, 3), (2, 4)]
     assert [(r.qid, r.id) for r in retrieve.dense_topk(q, p, 3).orderBy("qid", "rank").collect()] == want
-    monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(retrieve, "BLOCK_NUMBERS", 1)
+    monkeypatch.setattr(retrieve, "BATCH_SCORES", 1)
     assert [(r.qid, r.id) for r in retrieve.dense_topk(q, p, 3).orderBy("qid", "rank").collect()] == want
 
 
