@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import drop, store
-from corvane.llm.tables import parts_for
+from corvane.llm.tables import fewer_files, parts_for
 
 GRAM = 32
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -310,7 +310,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "h", "n"])
 
     sent = chunks.mapInArrow(send_hashes, "bucket bigint, chunk bigint, h binary, n binary")
-    back = store(sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(keep_repeated, "chunk bigint, h binary, n binary"), "repeated")
+    back = store(fewer_files(sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(keep_repeated, "chunk bigint, h binary, n binary"), n_parts), "repeated")
 
     meta_kind = np.dtype([("h", "<u8"), ("chunk", "<i8"), ("at", "<i4"), ("salts", "<i4")])
 
@@ -362,7 +362,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return
 
     listed = back.repartition(n_parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("h", "n")).alias("back"))
-    routed = store(chunks.select("chunk", "sizes", "blob").repartition(n_parts, "chunk").join(listed, "chunk").mapInArrow(contexts, "shard bigint, chunk bigint, spans binary, meta binary, ctx binary"), "contexts")
+    opened = chunks.select("chunk", "sizes", "blob").repartition(n_parts, "chunk").join(listed, "chunk").mapInArrow(contexts, "shard bigint, chunk bigint, spans binary, meta binary, ctx binary")
+    routed = store(fewer_files(opened, n_parts), "contexts")
     drop(back)
 
     def by_chunk(chunk: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, bytes]]:
@@ -446,7 +447,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     schema = "chunk bigint, spans binary, bucket bigint, heads binary"
     shards = routed.filter("shard >= 0").select("shard", "meta", "ctx")
-    sorted_ = store(shards.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(sort_shard, schema), "sorted")
+    sorted_ = store(fewer_files(shards.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(sort_shard, schema), n_parts), "sorted")
     removals = routed.filter("shard < 0").select("chunk", "spans").unionByName(sorted_.filter("chunk >= 0").select("chunk", "spans"))
     heads = sorted_.filter("bucket >= 0").select("bucket", "heads")
     merged = heads.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge_heads, schema)
@@ -482,4 +483,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
     arrow = pa.schema([("id", to_arrow_type(kind)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))] + [("kept", pa.binary())] * keep_text)
     n = parts_for(chunks, 32 << 20)
     listed = removals.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list("spans").alias("removed"))
-    return chunks.repartition(n, "chunk").join(listed, "chunk", "left").mapInArrow(cut, f"id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>" + ", kept binary" * keep_text)
+    return fewer_files(chunks.repartition(n, "chunk").join(listed, "chunk", "left"), n).mapInArrow(cut, f"id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>" + ", kept binary" * keep_text)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.encoding import blocks, encoder
 from corvane.llm.scratch import new_path
-from corvane.llm.tables import parts_for
+from corvane.llm.tables import fewer_files, parts_for
 
 STEP = 512
 
@@ -131,7 +131,8 @@ def read_files(spark, path: str) -> DataFrame:
     for r in totals:
         bases.append((r.shard, at))
         at += r.n
-    return segments.join(F.broadcast(spark.createDataFrame(bases, "shard int, base bigint")), "shard")
+    joined = segments.join(F.broadcast(spark.createDataFrame(bases, "shard int, base bigint")), "shard")
+    return fewer_files(joined, len(bases)) if bases else joined
 
 
 def read_documents(spark, path: str, with_tokens: bool = False) -> DataFrame:
