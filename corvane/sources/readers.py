@@ -120,6 +120,16 @@ def zip_members(archives: DataFrame, limits: ZipLimits = ZipLimits()) -> DataFra
     return archives.select("path", "content").mapInPandas(run, "path string, member string, content_sha256 string, content binary, error string")
 
 
+def planned_members(archives: DataFrame, plan: DataFrame, limits: ZipLimits = ZipLimits()) -> DataFrame:
+    """Members that were planned (path, member, content_sha256), read again: one that is gone or has changed since has an error and no content."""
+    now = zip_members(archives, limits).select("path", "member", F.col("content_sha256").alias("_sha"), "content", F.col("error").alias("_error"))
+    broken = now.filter("member is null").select("path", F.col("_error").alias("_broken"))
+    both = plan.join(now.filter("member is not null"), ["path", "member"], "left").join(broken, "path", "left")
+    same = F.col("_sha") == F.col("content_sha256")
+    error = F.when(F.col("_broken").isNotNull(), F.col("_broken")).when(F.col("_sha").isNull(), "member not found").when(~same, "member changed after planning")
+    return both.select("path", "member", "content_sha256", F.when(same, F.col("content")).alias("content"), error.alias("error"))
+
+
 def url_list(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
     """URLs of a text file, one a line, with their document keys; comments and blank lines are skipped, two URLs of one key refused."""
     rows = spark.read.text(path).select(F.trim("value").alias("url")).filter("url <> '' and not startswith(url, '#')").withColumn("document_key", document_key(F.col("url")))

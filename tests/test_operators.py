@@ -291,3 +291,38 @@ def test_plain_text(text, want):
     from corvane.operators.convert import plain_to_markdown
 
     assert plain_to_markdown(text) == want
+
+
+def test_planned_members_tell_changes(spark):
+    def packed(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in members.items():
+                z.writestr(f"{name}.txt", body)
+        return bytearray(out.getvalue())
+
+    plan = readers.zip_members(spark.createDataFrame([("a", packed(x="1", y="2", z="3")), ("b", packed(x="1"))], "path string, content binary")).select("path", "member", "content_sha256")
+    later = spark.createDataFrame([("a", packed(x="1", y="9")), ("b", bytearray(b"no archive"))], "path string, content binary")
+    got = {(r.path, r.member): (r.content and bytes(r.content), r.error) for r in readers.planned_members(later, plan).collect()}
+    assert got["a", "x.txt"] == (b"1", None) and got["a", "y.txt"] == (None, "member changed after planning") and got["a", "z.txt"] == (None, "member not found")
+    assert got["b", "x.txt"][0] is None and "BadZipFile" in got["b", "x.txt"][1]
+
+
+def test_urls_are_read_within_bounds(spark):
+    from corvane.sources.remote import FetchPolicy, fetched
+
+    def lookup(host):
+        return {"inside.example.com": ["10.0.0.7"], "both.example.com": ["93.184.216.34", "127.0.0.1"], "six.example.com": ["::ffff:192.168.0.1"]}.get(host, ["93.184.216.34"])
+
+    def opener(url, address, seconds, most):
+        path = url.split("/", 3)[3]
+        if path == "loop":
+            return 302, {"location": "/loop"}, b""
+        if path == "in":
+            return 301, {"location": "https://inside.example.com/"}, b""
+        return (404, {}, b"") if path == "gone" else (200, {"content-type": "Text/HTML; charset=x"}, b"x" * (20 if path == "large" else 3))
+
+    names = ["https://a.example.com/ok", "http://a.example.com/ok", "https://u:p@a.example.com/ok", "https://inside.example.com/ok", "https://both.example.com/ok", "https://six.example.com/ok", "https://a.example.com/loop", "https://a.example.com/in", "https://a.example.com/gone", "https://a.example.com/large", "https://other.org/ok"]
+    rows = fetched(spark.createDataFrame([(n,) for n in names], "url string"), FetchPolicy(hosts=("*.example.com",), most_bytes=10), opener, lookup).collect()
+    assert [r.url for r in rows if r.error is None] == names[:1]
+    assert bytes(rows[0].content) == b"xxx" and rows[0].mime == "text/html" and all(r.error.startswith("ValueError") for r in rows[1:])
