@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import drop, store
+from corvane.llm.tables import fewer_files
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,16 +24,17 @@ def stars(edges: DataFrame) -> DataFrame:
     are ignored. The number of rounds grows with the logarithm of a component's
     diameter; each round is written, so a lost executor costs one round at most.
     """
-    now = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = store(fewer_files(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
     before = _state(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # a table of its own, so that both sides of the join are plain exchanges and a hub's edges can be split
+        least = store(fewer_files(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        following = store(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        drop(now)
+        following = store(fewer_files(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()), "edges")
+        drop(now, least)
         now, after = following, _state(following)
         if after == before:
             break

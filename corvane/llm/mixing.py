@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import drop, store
-from corvane.llm.tables import row_key, whole_rows
+from corvane.llm.tables import fewer_files, row_key, whole_rows
 
 SCHEMA = "id {kind}, size bigint, source string, bucket bigint, copies bigint, part double"
 
@@ -188,13 +188,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     start = with_share.select("id", "size", "source", F.pmod(F.xxhash64("id", "h"), F.lit(buckets)).cast("long").alias("bucket"), whole.alias("copies"), part.alias("part"), "h")
     sure = start.filter("part is null").drop("h")
     ordered = start.filter("part is not null").repartition("bucket").sortWithinPartitions("bucket", "source", F.desc("size"), F.xxhash64("id", F.lit(seed)), "id", "h").drop("h")
-    state = store(fold(ordered, seed, 0, buckets == 1), "mix")
+    state = store(fewer_files(fold(ordered, seed, 0, buckets == 1)), "mix")
     done, level = [sure, state.filter("part is null")], 1
     while buckets > 1:
         buckets = math.ceil(buckets / fan_in)
         left = state.filter("part is not null").withColumn("up", F.floor(F.col("bucket") / fan_in).cast("long"))
         tree = left.repartition("up", "source").sortWithinPartitions("up", "source", F.desc("size"), "bucket").select("id", "size", "source", F.col("up").alias("bucket"), "copies", "part")
-        state = store(fold(tree, seed, level, buckets == 1), "mix")
+        state = store(fewer_files(fold(tree, seed, level, buckets == 1)), "mix")
         done.append(state.filter("part is null"))
         level += 1
     out = done[0]
@@ -213,7 +213,7 @@ def repeat_by_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     key = row_key(F.col(id_col), F.col(text), F.col(source)).alias("key")
     keyed = docs.select(key, F.col(text).alias("text"), F.col(source).alias("source"))
     counted = mix(keyed, "key", "text", "source", **options).groupBy("id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
-    counts = store(counted.filter("copies > 0").select(F.col("id").alias("key"), "copies", "alike"), "copies")
+    counts = store(fewer_files(counted.filter("copies > 0").select(F.col("id").alias("key"), "copies", "alike")), "copies")
     joined = whole_rows(docs, key).join(counts.hint("merge"), "key")
     times = F.sequence(F.lit(1).cast("long"), F.col("times"))
 

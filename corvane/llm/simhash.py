@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.components import stars
 from corvane.llm.scratch import drop, store
-from corvane.llm.tables import row_key, whole_rows
+from corvane.llm.tables import fewer_files, row_key, whole_rows
 
 ONE = np.uint64(1)
 
@@ -193,7 +193,7 @@ def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
 def fingerprint_links(fps: DataFrame, radius: int = 4, block_rows: int = 4096) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that span every component of the radius graph."""
     keyed = fps.select("fp", F.explode(bucket_keys(F.col("fp"), radius)).alias("key"))
-    large = store(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows), "large")
+    large = store(fewer_files(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)), "large")
     if large.isEmpty():
         parts = keyed.withColumn("part", F.lit(0).cast("long"))
     else:
@@ -201,7 +201,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block_rows: int = 4096) -
         own = F.pmod(F.xxhash64("fp"), c)
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda x: F.shiftleft(F.least(x, own), 31).bitwiseOR(F.greatest(x, own)))
         parts = keyed.join(large, "key", "left").select("fp", "key", F.explode(pairs).alias("part"))
-    links = store(bucket_edges(parts, radius), "links")
+    links = store(fewer_files(bucket_edges(parts, radius)), "links")
     drop(large)
     return links
 
@@ -211,7 +211,7 @@ def fingerprint_roots(fps: DataFrame, radius: int = 4, block_rows: int = 4096) -
     links = fingerprint_links(fps.select("fp"), radius, block_rows)
     roots = stars(links)
     drop(links)
-    rooted = store(fps.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("to")), "fp", "left").withColumn("root", F.coalesce("to", "fp")).drop("to"), "roots")
+    rooted = store(fewer_files(fps.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("to")), "fp", "left").withColumn("root", F.coalesce("to", "fp")).drop("to")), "roots")
     drop(roots)
     return rooted
 
@@ -219,10 +219,10 @@ def fingerprint_roots(fps: DataFrame, radius: int = 4, block_rows: int = 4096) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, block_rows: int = 4096) -> DataFrame:
     """Per row of ``docs``: id, fp (signed long) and component (least id reachable by links)."""
     marked = store(with_fingerprints(docs, id_col, text, shingle), "fingerprints")
-    fps = store(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    fps = store(fewer_files(marked.groupBy("fp").agg(F.min("id").alias("least"))), "distinct")
     rooted = fingerprint_roots(fps, radius, block_rows)
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = store(rooted.join(named, "root").select("fp", "component"), "components")
+    of_fp = store(fewer_files(rooted.join(named, "root").select("fp", "component")), "components")
     drop(fps, rooted)
     return marked.join(of_fp, "fp").select("id", "fp", "component")
 
@@ -242,11 +242,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     key = row_key(F.col(id_col), F.col(text)).alias("key")
     rows = docs.select(F.struct(F.col(id_col).alias("id"), key).alias("row"), F.col(text).alias("text"))
     marked = store(with_fingerprints(rows, "row", "text", shingle), "fingerprints")
-    fps = store(marked.select("fp").distinct(), "distinct")
+    fps = store(fewer_files(marked.select("fp").distinct()), "distinct")
     rooted = fingerprint_roots(fps, radius, block_rows)
     counted = marked.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")).join(rooted, "fp")
     first = F.min(F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), F.col("id.key").alias("key"), "n")).alias("first")
-    heads = store(counted.groupBy("root").agg(first).select("first.key", "first.n"), "heads")
+    heads = store(fewer_files(counted.groupBy("root").agg(first).select("first.key", "first.n")), "heads")
     drop(marked, fps, rooted)
     kept = whole_rows(docs, key).join(heads.hint("merge"), "key")
     single = kept.filter("n = 1").select("row.*")

@@ -32,6 +32,7 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-input_bytes(df) // bytes_each), 1 << 20))
 
 
-def fewer_files(df: DataFrame, parts: int) -> DataFrame:
-    """``df`` of ``parts`` shuffle partitions in a quarter as many tasks and files, but not under 48, for tables in which the order of partitions says nothing."""
+def fewer_files(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` of ``parts`` shuffle partitions (``spark.sql.shuffle.partitions`` unless given) in a quarter as many tasks and files, but not under 48, for tables in which the order of partitions says nothing."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.coalesce(max(min(parts, 48), parts // 4))
