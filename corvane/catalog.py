@@ -177,10 +177,21 @@ def ret17_dbsf(spark: SparkSession, d: str) -> DataFrame:
     return fusion.dbsf([dense_hits(spark, d, 40), label_hits(spark, d, 40)], 10)
 
 
-@register()
+SQL_MMR = f"""WITH RECURSIVE {sql_dense(50)}, c AS (
+  SELECT x.qid, x.id, x.score, x.rank, map(list(y.id), list(coalesce({SQL_COS}, 0))) AS near
+  FROM dense x JOIN dense y USING (qid) JOIN embeddings a ON a.vec_id = x.id JOIN embeddings b ON b.vec_id = y.id GROUP BY ALL
+), v AS (SELECT DISTINCT qid, 0 AS step, []::BIGINT[] AS chosen, NULL::BIGINT AS id, NULL::DOUBLE AS score FROM c UNION ALL
+  SELECT qid, step, list_append(chosen, id), id, score FROM (
+    SELECT qid, step, chosen, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, id) AS k FROM (
+      SELECT v.qid, v.step + 1 AS step, v.chosen, c.id, c.rank, round(0.5 * c.score - 0.5 * coalesce(list_max(list_transform(v.chosen, lambda s: c.near[s])), 0), 9) AS score
+      FROM v JOIN c ON v.qid = c.qid WHERE v.step < 10 AND NOT list_contains(v.chosen, c.id))) WHERE k = 1)
+SELECT qid, id, round(score, 6) AS score, step AS rank FROM v WHERE step > 0"""
+
+
+@register(SQL_MMR)
 def ret18_mmr(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieve.dense_topk(dense_queries(spark, d), dense_points(spark, d), 50)
-    return fusion.mmr(hits.join(dense_points(spark, d).select("id", "vec"), "id"), 0.5, 10, 50)
+    return fusion.mmr(hits.join(dense_points(spark, d).select("id", "vec"), "id"), 0.5, 10, 50).withColumn("score", F.round("score", 6))
 
 
 def sql_boost(kind: str) -> str:

@@ -326,3 +326,24 @@ def test_urls_are_read_within_bounds(spark):
     rows = fetched(spark.createDataFrame([(n,) for n in names], "url string"), FetchPolicy(hosts=("*.example.com",), most_bytes=10), opener, lookup).collect()
     assert [r.url for r in rows if r.error is None] == names[:1]
     assert bytes(rows[0].content) == b"xxx" and rows[0].mime == "text/html" and all(r.error.startswith("ValueError") for r in rows[1:])
+
+
+def test_sinks(spark, tmp_path, caplog):
+    from collections import deque
+
+    from corvane.streaming import sinks
+
+    events = spark.createDataFrame([("a", "secret", 1), ("b", "secret", 2)], "event_type string, query string, n int")
+    held, path = deque(maxlen=5), f"file://{tmp_path}/e"
+    caplog.set_level("INFO", "corvane.events")
+
+    def broken(rows, number):
+        raise OSError("no")
+
+    with pytest.raises(OSError):
+        sinks.several(sinks.nothing, broken, sinks.json_lines(path), sinks.buffered(held), sinks.logged())(events, 3)
+    sinks.json_lines(path)(events, 3)  # again: the batch replaces its own lines
+    lines = sorted(r.value for r in spark.read.text(path).select("value").collect())
+    assert lines == sorted(held) == ['{"event_type":"a","n":1}', '{"event_type":"b","n":2}'] and "secret" not in caplog.text and '"n":2' in caplog.text
+    with pytest.raises(ValueError):
+        sinks.buffered(deque())
