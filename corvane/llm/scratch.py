@@ -7,6 +7,7 @@ without that setting (tests) gets a folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -73,3 +74,9 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

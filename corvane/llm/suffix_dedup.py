@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import drop, store
+from corvane.llm.scratch import drop, free_shuffles, store
 from corvane.llm.tables import fewer_files, parts_for
 
 GRAM = 32
@@ -278,6 +278,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     chunks = lay_out(docs, id_col, text, chunk_bytes)
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     spark = docs.sparkSession
+    free_shuffles(spark)
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // (32 << 20)) + 1)
 
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +366,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     opened = chunks.select("chunk", "sizes", "blob").repartition(n_parts, "chunk").join(listed, "chunk").mapInArrow(contexts, "shard bigint, chunk bigint, spans binary, meta binary, ctx binary")
     routed = store(fewer_files(opened, n_parts), "contexts")
     drop(back)
+    del opened, listed
+    free_shuffles(spark)
 
     def by_chunk(chunk: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, bytes]]:
         """Stretches -> (chunk, packed offsets)."""
@@ -448,6 +451,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     schema = "chunk bigint, spans binary, bucket bigint, heads binary"
     shards = routed.filter("shard >= 0").select("shard", "meta", "ctx")
     sorted_ = store(fewer_files(shards.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(sort_shard, schema), n_parts), "sorted")
+    free_shuffles(spark)
     removals = routed.filter("shard < 0").select("chunk", "spans").unionByName(sorted_.filter("chunk >= 0").select("chunk", "spans"))
     heads = sorted_.filter("bucket >= 0").select("bucket", "heads")
     merged = heads.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge_heads, schema)
