@@ -180,8 +180,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seg
         ids, held, rows, size, kind = [], [], [], 0, pa.int64()
         for batch in batches:
             kind, first = batch.column(0).type, 0
-            for k, (key, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
-                raw = text.as_py().encode() if text.is_valid else None
+            for k, (key, text) in enumerate(zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True)):
+                raw = text.as_py()
                 ids.append(key.as_py())
                 held.append(words_of(raw))
                 size += len(raw or b"") + 64
