@@ -7,7 +7,8 @@ Noisy Information in Web Pages for Data Mining"): a node whose children look ali
 all pages, and a text that all pages repeat, say little. A leaf's content importance is
 lessened by its share of characters in links, so a menu whose words differ from page to
 page has little as well. A branch of which every node is of low importance is removed
-from each page; nothing else removes a branch that a browser would show.
+from each page. Besides, only what a browser would not show as text, forms and dialogs,
+and words inside a block whose element names them as noise are left out.
 
 Markup gives priors, not verdicts. A node that names itself as navigation, advert,
 notice, comments and the like, or that lies outside the article or main part on the
