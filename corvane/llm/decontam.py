@@ -122,7 +122,7 @@ def phrase_matches(seg: Segment, block: TestBlock, at_once: int = 1 << 21) -> tu
         start, w = start[keep], w[keep]
         for rank in range(1, rows.shape[1]):
             col = by_rarity[w, rank]
-            want = rows[w, col]
+            want = rows[w, col].astype(np.int64)  # times the span below, which 32 bits do not hold
             shifted = want * seg.span + start + col  # where the term's list holds the candidate, shifted by the term's place
             keep = (want < 0) | (listed[np.minimum(np.searchsorted(listed, shifted), len(listed) - 1)] == shifted)
             start, w = start[keep], w[keep]

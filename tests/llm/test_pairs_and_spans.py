@@ -216,6 +216,14 @@ def test_benchmark_hits(spark, block_words):
     assert all(sum(s.stop - s.start for s in r.spans) == r.n_hit for r in rows)
 
 
+def test_windows_of_late_terms_are_found_in_a_large_segment(spark):
+    """Term numbers times the length of a segment pass 32 bits."""
+    many = [f"w{k}" for k in range(60_000)]
+    docs, items = [(1, " ".join(many)), (2, " ".join(many[-20:]))], [(7, " ".join(many[-13:]))]
+    found = decontam.benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()} == {1: (60_000, 13, ["7"]), 2: (20, 13, ["7"])}
+
+
 @pytest.mark.parametrize("block_words", [500_000, 30])
 def test_items_without_id_are_searched_for(spark, block_words):
     named, unnamed = ([f"{c}{k}" for k in range(20)] for c in "ab")
