@@ -17,7 +17,10 @@ earlier in the corpus. The steps, each a table in the shared folder:
    are found by hash and verified byte by byte.
 4. Anchors with more than ``hot`` occurrences are spread over several shards.
    Their classes are merged across shards: sorted lists of class heads, dealt by
-   content, are merged by binary search, and the later head goes.
+   content, are merged by binary search, two by two in rounds, and the later head goes.
+
+What shards and chunks send each other is packed by groups of 16 chunks of a
+partition, so its rows are as many as groups times shards, not chunks times shards.
 
 Defined results: a null text has no bytes; texts shorter than 100 bytes lose
 nothing; rows of equal id lie in the order of their texts' hashes, and the first
@@ -38,6 +41,7 @@ from corvane.llm.scratch import drop, free_shuffles, store
 from corvane.llm.tables import fewer_files, parts_for
 
 GRAM = 32
+GROUP = 4  # bits of a chunk's number that tell its place in its group
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -95,15 +99,15 @@ def suffix_ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     """
     n = len(text)
     key = np.zeros(n, np.int64)
-    pad = np.concatenate([text.astype(np.int64) + 1, np.zeros(6, np.int64)])
-    for k in range(6):
+    pad = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])
+    for k in range(7):
         key = key * 258 + pad[k : k + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.r_[True, key[sa[1:]] != key[sa[:-1]]] if n else np.zeros(0, bool)
     rank = np.empty(n, np.int64)
     head = np.flatnonzero(new)
     rank[sa] = np.repeat(head, np.diff(np.r_[head, n]))
-    h = 6
+    h = 7
     while h < length:
         step = min(h, length - h)  # the last step may overlap what is known
         size = np.diff(np.r_[head, n])
@@ -113,11 +117,11 @@ def suffix_ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
             break
         s = sa[at]
         ahead = np.where(s + step < n, rank[np.minimum(s + step, n - 1)] + 1, 0)
-        order = np.lexsort((ahead, rank[s]))
-        s, ahead = s[order], ahead[order]
+        both = rank[s] * (n + 1) + ahead
+        order = np.argsort(both)
+        s, both = s[order], both[order]
         sa[at] = s
-        old = rank[s]
-        begins = np.r_[True, (old[1:] != old[:-1]) | (ahead[1:] != ahead[:-1])]
+        begins = np.r_[True, both[1:] != both[:-1]]
         b = np.flatnonzero(begins)
         rank[s] = np.repeat(at[b], np.diff(np.r_[b, len(s)]))
         new[at] = begins
@@ -126,7 +130,7 @@ def suffix_ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return sa, rank
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 1 << 16) -> np.ndarray:
     """Kasai: common prefix (up to ``cap``) of each suffix in ``sa`` order with its predecessor.
 
     In text order a prefix shrinks by one at most from a position to the next, as
@@ -260,6 +264,41 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[k].as_py() for name in batch.schema.names}
 
 
+def _with_sent(chunks: DataFrame, sent: DataFrame, n: int) -> DataFrame:
+    """Chunks below the rows that were sent to their groups (``grp``), in ``n`` partitions."""
+    placed = chunks.withColumn("grp", F.shiftright("chunk", GROUP))
+    return placed.unionByName(sent, allowMissingColumns=True).repartition(n, "grp").sortWithinPartitions("grp", F.col("chunk").asc_nulls_first())
+
+
+def _chunks_with(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict, list[tuple]]]:
+    """The chunks of :func:`_with_sent`, each with the list (one for a group) of what its group was sent."""
+    group, held = None, []
+    for row in _rows(batches):
+        if row["grp"] != group:
+            group, held = row["grp"], []
+        if row["chunk"] is None:
+            held.append(tuple(row[x] for x in names))
+        else:
+            yield row, held
+
+
+def _joined(parts: list[bytes], kind: np.dtype | str) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
+
+
+def merge_sorted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of heads sorted by distinct ``w`` -> one such list, and the later heads of those in both."""
+    if not len(a) or not len(b):
+        return (a if len(a) else b), a[:0]
+    at = np.searchsorted(a["w"], b["w"])
+    same = (at < len(a)) & (a["w"][np.minimum(at, len(a) - 1)] == b["w"])
+    old, given = a[at[same]], b[same]
+    first = (given["chunk"] < old["chunk"]) | (given["chunk"] == old["chunk"]) & (given["at"] < old["at"])
+    merged = a.copy()
+    merged[at[same]] = np.where(first, given, old)
+    return np.insert(merged, at[~same], b[~same]), np.where(first, old, given)
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
     """Runs of rows of one key of a table sorted by it."""
     held: list[dict] = []
@@ -273,7 +312,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, chunk_bytes: int = 2 << 20, hot: int = 5_000) -> tuple[DataFrame, DataFrame]:
-    """(chunks, removals): removals are rows (chunk, packed stretches of removed bytes)."""
+    """(chunks, removals): removals are rows (group of chunks, packed stretches of removed bytes)."""
     side, w = length - GRAM, 2 * length - GRAM  # columns before the anchor, columns of a context
     chunks = lay_out(docs, id_col, text, chunk_bytes)
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
@@ -282,49 +321,89 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // (32 << 20)) + 1)
 
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            h, n = np.unique(anchors(*_open(row["sizes"], row["blob"]), length)[3], return_counts=True)
+        def rows(group: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([x[1] for x in held]), minlength=len(h)).astype(np.int64)
             bucket = (h % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            h, n, bucket = h[order], np.minimum(n[order], 65535).astype("<u2"), bucket[order]
+            h, n, bucket = h[order], np.minimum(n[order], 2**32 - 1).astype("<u4"), bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else np.zeros(0, np.int64)
             ends = np.r_[cut[1:], len(h)] if len(h) else cut
-            yield pa.record_batch(
-                [pa.array(bucket[cut]), pa.array(np.full(len(cut), row["chunk"], np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
-                names=["bucket", "chunk", "h", "n"],
+            return pa.record_batch(
+                [pa.array(bucket[cut]), pa.array(np.full(len(cut), group, np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
+                names=["bucket", "grp", "h", "n"],
             )
 
+        group, held = None, []
+        for row in _rows(batches):
+            if held and group != row["chunk"] >> GROUP:
+                yield rows(group, held)
+                held = []
+            group = row["chunk"] >> GROUP
+            held.append(np.unique(anchors(*_open(row["sizes"], row["blob"]), length)[3], return_counts=True))
+        if held:
+            yield rows(group, held)
+
     def keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "bucket"):
-            h = np.concatenate([np.frombuffer(r["h"], "<u8") for r in rows])
-            n = np.concatenate([np.frombuffer(r["n"], "<u2") for r in rows]).astype(np.int64)
+            h = _joined([r["h"] for r in rows], "<u8")
+            n = _joined([r["n"] for r in rows], "<u4").astype(np.int64)
             values, back = np.unique(h, return_inverse=True)
             sums = np.bincount(back, weights=n)[back].astype(np.int64)
             at = 0
             out = []
             for r in rows:
-                k = len(r["n"]) // 2
+                k = len(r["n"]) // 4
                 use = sums[at : at + k] > 1
                 if use.any():
-                    out.append((r["chunk"], h[at : at + k][use].tobytes(), np.minimum(sums[at : at + k][use], 2**32 - 1).astype("<u4").tobytes()))
+                    out.append((r["grp"], h[at : at + k][use].tobytes(), np.minimum(sums[at : at + k][use], 2**32 - 1).astype("<u4").tobytes()))
                 at += k
-            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "h", "n"])
+            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["grp", "h", "n"])
 
-    sent = chunks.mapInArrow(send_hashes, "bucket bigint, chunk bigint, h binary, n binary")
-    back = store(fewer_files(sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(keep_repeated, "chunk bigint, h binary, n binary"), n_parts), "repeated")
+    sent = chunks.mapInArrow(send_hashes, "bucket bigint, grp bigint, h binary, n binary")
+    back = store(fewer_files(sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(keep_repeated, "grp bigint, h binary, n binary"), n_parts), "repeated")
 
     meta_kind = np.dtype([("h", "<u8"), ("chunk", "<i8"), ("at", "<i4"), ("salts", "<i4")])
 
-    def pack(start: np.ndarray, stop: np.ndarray) -> bytes:
-        return np.stack([start, stop], axis=1).astype("<i4").tobytes()
+    def by_group(chunk: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, bytes]]:
+        """Stretches -> (group, packed places of chunks in it and offsets)."""
+        order = np.argsort(chunk, kind="stable")
+        chunk, packed = chunk[order], np.stack([chunk & ((1 << GROUP) - 1), start, stop], axis=1)[order].astype("<i4")
+        group = chunk >> GROUP
+        cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+        return [(int(group[x]), packed[x:y].tobytes()) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)][: len(cut)], strict=True)]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        def rows_of(held: list[tuple]) -> pa.RecordBatch:
+            """What the chunks of ``held`` found: equal contexts of a chunk (shard -1) and the others by shard."""
+            own, gone_chunk, start, stop, shard, meta = (np.concatenate(x) if k else x for k, x in enumerate(zip(*held, strict=True)))
+            spans = by_group(gone_chunk, start, stop)
+            order = np.argsort(shard, kind="stable")
+            shard, meta, own = shard[order], meta[order], np.concatenate(own)
+            cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+            pieces = list(zip(cut.tolist(), [*cut[1:].tolist(), len(shard)][: len(cut)], strict=True))
+            return pa.record_batch(
+                [
+                    pa.array([-1] * len(spans) + shard[cut].tolist(), pa.int64()), pa.array([x[0] for x in spans] + [None] * len(pieces), pa.int64()), pa.array([x[1] for x in spans] + [b""] * len(pieces), pa.binary()),
+                    pa.array([b""] * len(spans) + [meta[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array([b""] * len(spans) + [pa.compress(own[order[x:y]].tobytes(), codec="zstd", asbytes=True) for x, y in pieces], pa.binary()),
+                ],
+                names=["shard", "grp", "spans", "meta", "ctx"],
+            )
+
+        group, held, waiting = None, [], 0
+        for row, given in _chunks_with(batches, ["h", "n"]):
+            if group != row["grp"] or waiting >= 1 << 18:
+                if held:
+                    yield rows_of(held)
+                held, waiting = [], 0
+            if group != row["grp"]:
+                group = row["grp"]
+                h, n = _joined([x[0] for x in given], "<u8"), _joined([x[1] for x in given], "<u4")
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+            if not len(h):
+                continue
             data, ends = _open(row["sizes"], row["blob"])
-            h = np.concatenate([np.frombuffer(x["h"], "<u8") for x in row["back"]])
-            n = np.concatenate([np.frombuffer(x["n"], "<u4") for x in row["back"]])
-            order = np.argsort(h)
-            h, n = h[order], n[order]
             a, lo, hi, key = anchors(data, ends, length)
             at = np.minimum(np.searchsorted(h, key), len(h) - 1)
             use = h[at] == key
@@ -345,62 +424,59 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 _, own = row_groups(both)
                 gone[both_at[~own]] = True
                 kept, kept_at = both[own], both_at[own]
-            if len(a):
-                start, stop = lo[gone], hi[gone] + length
-                yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([pack(start, stop)], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "chunk", "spans", "meta", "ctx"])
-                i = kept_at
-                salts = -(-count[i].astype(np.int64) // hot)
-                own = row["chunk"] + (row["chunk"] >> 32)  # partition and number in it
-                shard = ((key[i] * _MIX[1]) >> np.uint64(20)).astype(np.int64) + np.where(salts > 1, own % np.maximum(salts, 1), 0)
-                shard %= n_parts
-                meta = np.zeros(len(i), meta_kind)
-                meta["h"], meta["chunk"], meta["at"], meta["salts"] = key[i], row["chunk"], a[i] - side, salts
-                order = np.argsort(shard, kind="stable")
-                shard, meta, kept = shard[order], meta[order], kept[order]
-                cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-                for x, y in zip(cut, np.r_[cut[1:], len(shard)], strict=True):
-                    yield pa.record_batch([pa.array([shard[x]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([b""], pa.binary()), pa.array([meta[x:y].tobytes()], pa.binary()), pa.array([pa.compress(kept[x:y].tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["shard", "chunk", "spans", "meta", "ctx"])
-        return
-
-    listed = back.repartition(n_parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("h", "n")).alias("back"))
-    opened = chunks.select("chunk", "sizes", "blob").repartition(n_parts, "chunk").join(listed, "chunk").mapInArrow(contexts, "shard bigint, chunk bigint, spans binary, meta binary, ctx binary")
+            i = kept_at
+            salts = -(-count[i].astype(np.int64) // hot)
+            own = row["chunk"] + (row["chunk"] >> 32)  # partition and number in it
+            shard = ((key[i] * _MIX[1]) >> np.uint64(20)).astype(np.int64) + np.where(salts > 1, own % np.maximum(salts, 1), 0)
+            shard %= n_parts
+            meta = np.zeros(len(i), meta_kind)
+            meta["h"], meta["chunk"], meta["at"], meta["salts"] = key[i], row["chunk"], a[i] - side, salts
+            held.append((kept, np.full(int(gone.sum()), row["chunk"], np.int64), lo[gone], hi[gone] + length, shard, meta))
+            waiting += len(i)
+        if held:
+            yield rows_of(held)
+
+    opened = _with_sent(chunks.select("chunk", "sizes", "blob"), back, n_parts).mapInArrow(contexts, "shard bigint, grp bigint, spans binary, meta binary, ctx binary")
     routed = store(fewer_files(opened, n_parts), "contexts")
     drop(back)
-    del opened, listed
+    del opened
     free_shuffles(spark)
 
-    def by_chunk(chunk: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, bytes]]:
-        """Stretches -> (chunk, packed offsets)."""
-        order = np.argsort(chunk, kind="stable")
-        chunk, start, stop = chunk[order], start[order], stop[order]
-        cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, np.int64)
-        return [(int(chunk[x]), pack(start[x:y], stop[x:y])) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(chunk)], strict=True)] if len(chunk) else []
-
     def out_rows(spans: list[tuple[int, bytes]], heads: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.record_batch(
             [pa.array([s[0] for s in spans] + [-1] * len(heads), pa.int64()), pa.array([s[1] for s in spans] + [b""] * len(heads), pa.binary()), pa.array([-1] * len(spans) + [x[0] for x in heads], pa.int64()), pa.array([b""] * len(spans) + [x[1] for x in heads], pa.binary())],
-            names=["chunk", "spans", "bucket", "heads"],
+            names=["grp", "spans", "bucket", "heads"],
         )
 
     head_kind = [("w", f"S{length}"), ("chunk", "<i8"), ("at", "<i4")]
 
-    def sort_part(meta: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        """The suffix array of the contexts of some whole anchors."""
+    def sort_part(meta: np.ndarray, rows: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """The suffix array of the contexts of some whole anchors: stretches that go, and the class heads to be merged."""
         lo, hi = rows[:, w].astype(np.int64), rows[:, w + 1].astype(np.int64)
         record, col, head = shard_classes(lo, hi, rows, meta["chunk"], meta["at"].astype(np.int64), length)
         chunk, at = meta["chunk"][record], meta["at"][record] + col
-        heads = []
         merge = head & (meta["salts"][record] > 1)
+        items = np.zeros(int(merge.sum()), head_kind)
         if merge.any():
             view = np.lib.stride_tricks.sliding_window_view(rows[:, :w], length, axis=1)
-            items = np.zeros(int(merge.sum()), head_kind)
             items["w"] = np.ascontiguousarray(view[record[merge], col[merge]]).view(f"S{length}")[:, 0]
             items["chunk"], items["at"] = chunk[merge], at[merge]
-            bucket = (gram_hashes(np.ascontiguousarray(view[record[merge], col[merge]][:, :GRAM]).reshape(-1))[::GRAM] ^ gram_hashes(np.ascontiguousarray(view[record[merge], col[merge]][:, -GRAM:]).reshape(-1))[::GRAM]) % np.uint64(n_parts)
-            for b in np.unique(bucket).tolist():
-                own = items[bucket == b]
-                heads.append((int(b), own[np.argsort(own["w"], kind="stable")].tobytes()))
-        return out_rows(by_chunk(*runs_of(chunk[~head], at[~head], length)), heads)
+        return runs_of(chunk[~head], at[~head], length), items
+
+    def dealt_heads(items: np.ndarray) -> list[tuple[int, bytes]]:
+        """Heads by bucket, sorted in it."""
+        if not len(items):
+            return []
+        raw = np.ascontiguousarray(items["w"]).view(np.uint8).reshape(len(items), length)
+        bucket = (gram_hashes(np.ascontiguousarray(raw[:, :GRAM]).reshape(-1))[::GRAM] ^ gram_hashes(np.ascontiguousarray(raw[:, -GRAM:]).reshape(-1))[::GRAM]) % np.uint64(n_parts)
+        order = np.argsort(items["w"], kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        items, bucket = items[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        return [(int(bucket[x]), items[x:y].tobytes()) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(items)], strict=True)]
+
+    def sort_out(lost: list[tuple], heads: list[np.ndarray]) -> pa.RecordBatch:
+        return out_rows(by_group(*(np.concatenate(x) for x in zip(*lost, strict=True))) if lost else [], dealt_heads(np.concatenate(heads)) if heads else [])
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _grouped(batches, "shard"):
@@ -416,7 +492,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             meta, rows = meta[order], rows[order]
             _, own = row_groups(rows)
             lost = ~own
-            yield out_rows(by_chunk(meta["chunk"][lost], meta["at"][lost] + rows[lost, w], meta["at"][lost] + rows[lost, w + 1] + length), [])
+            gone, heads = [(meta["chunk"][lost], meta["at"][lost] + rows[lost, w], meta["at"][lost] + rows[lost, w + 1] + length)], []
             meta, rows = meta[own], rows[own]
             # equal windows elect anchors at equal distances, so those of one context, which share one, all differ
             order = np.argsort(meta["h"], kind="stable")
@@ -430,32 +506,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 stop = min(begin + 12_000, len(meta))
                 if stop < len(meta):
                     stop = int(np.searchsorted(meta["h"], meta["h"][stop - 1], "right"))
-                yield sort_part(meta[begin:stop], rows[begin:stop])
+                found_gone, found_heads = sort_part(meta[begin:stop], rows[begin:stop])
+                gone.append(found_gone)
+                heads.append(found_heads)
                 begin = stop
+                if sum(map(len, heads)) >= 1 << 18 or sum(len(x[0]) for x in gone) >= 1 << 20:
+                    yield sort_out(gone, heads)
+                    gone, heads = [], []
+            yield sort_out(gone, heads)
 
     def merge_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _grouped(batches, "bucket"):
-            merged, losers = np.zeros(0, head_kind), [np.zeros(0, head_kind)]
-            for r in found:
-                new = np.frombuffer(r["heads"], head_kind)
-                at = np.searchsorted(merged["w"], new["w"])
-                same = (at < len(merged)) & (merged["w"][np.minimum(at, max(len(merged) - 1, 0))] == new["w"]) if len(merged) else np.zeros(len(new), bool)
-                old, given = merged[at[same]], new[same]
-                first = (given["chunk"] < old["chunk"]) | (given["chunk"] == old["chunk"]) & (given["at"] < old["at"])
-                losers.append(np.where(first, old, given))
-                merged[at[same]] = np.where(first, given, old)
-                merged = np.insert(merged, at[~same], new[~same])
+            lists, losers = [np.frombuffer(r.pop("heads"), head_kind) for r in found], [np.zeros(0, head_kind)]
+            while len(lists) > 1:
+                pairs = [merge_sorted(a, b) for a, b in zip(lists[::2], lists[1::2], strict=False)]
+                losers += [x[1] for x in pairs]
+                lists = [x[0] for x in pairs] + lists[2 * len(pairs) :]
             gone = np.concatenate(losers)
-            yield out_rows(by_chunk(*runs_of(gone["chunk"], gone["at"].astype(np.int64), length)), [])
+            yield out_rows(by_group(*runs_of(gone["chunk"], gone["at"].astype(np.int64), length)), [])
 
-    schema = "chunk bigint, spans binary, bucket bigint, heads binary"
+    schema = "grp bigint, spans binary, bucket bigint, heads binary"
     shards = routed.filter("shard >= 0").select("shard", "meta", "ctx")
     sorted_ = store(fewer_files(shards.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(sort_shard, schema), n_parts), "sorted")
     free_shuffles(spark)
-    removals = routed.filter("shard < 0").select("chunk", "spans").unionByName(sorted_.filter("chunk >= 0").select("chunk", "spans"))
+    removals = routed.filter("shard < 0").select("grp", "spans").unionByName(sorted_.filter("grp >= 0").select("grp", "spans"))
     heads = sorted_.filter("bucket >= 0").select("bucket", "heads")
     merged = heads.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge_heads, schema)
-    return chunks, removals.unionByName(merged.filter("chunk >= 0").select("chunk", "spans"))
+    return chunks, removals.unionByName(merged.filter("grp >= 0").select("grp", "spans"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, keep_text: bool = False, **options) -> DataFrame:
@@ -463,13 +540,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
     chunks, removals = repeated_spans(docs, id_col, text, length, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        group = None
+        for row, removed in _chunks_with(batches, ["spans"]):
+            if group != row["grp"]:
+                group, spans = row["grp"], _joined([x[0] for x in removed], "<i4").reshape(-1, 3)
             data, ends = _open(row["sizes"], row["blob"])
             step = np.zeros(len(data) + 1, np.int32)
-            for packed in row["removed"] or []:
-                pairs = np.frombuffer(packed, "<i4").reshape(-1, 2)
-                np.add.at(step, pairs[:, 0], 1)
-                np.add.at(step, pairs[:, 1], -1)
+            of_chunk = spans[spans[:, 0] == row["chunk"] & ((1 << GROUP) - 1)]
+            np.add.at(step, of_chunk[:, 1], 1)
+            np.add.at(step, of_chunk[:, 2], -1)
             gone = np.cumsum(step[:-1]) > 0
             out = []
             a = 0
@@ -486,5 +565,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
 
     arrow = pa.schema([("id", to_arrow_type(kind)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))] + [("kept", pa.binary())] * keep_text)
     n = parts_for(chunks, 32 << 20)
-    listed = removals.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list("spans").alias("removed"))
-    return fewer_files(chunks.repartition(n, "chunk").join(listed, "chunk", "left"), n).mapInArrow(cut, f"id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>" + ", kept binary" * keep_text)
+    return fewer_files(_with_sent(chunks, removals, n).mapInArrow(cut, f"id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>" + ", kept binary" * keep_text), n)

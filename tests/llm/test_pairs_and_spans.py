@@ -155,6 +155,46 @@ def test_chunk_numbers_of_partitions_do_not_meet(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+@pytest.mark.parametrize("hot", [5_000, 2])
+def test_rows_sent_follow_groups_of_chunks(spark, monkeypatch, tmp_path, hot):
+    """Hundreds of chunks in few partitions send a row for each group and shard, however many chunks there are."""
+    rng = random.Random(12)
+    passage = [" ".join(words(rng, 30)) for _ in range(5)]
+    rows = [(k, " ".join([*words(rng, 20), rng.choice(passage), *words(rng, 20)]), "x", 7) for k in range(400)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/docs")  # a table of known size
+    made, put = {}, suffix_dedup.store
+    monkeypatch.setattr(suffix_dedup, "store", lambda df, name: made.setdefault(name, put(df, name)))
+    monkeypatch.setattr(suffix_dedup, "drop", lambda *frames: None)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        found = suffix_dedup.dedup(spark.read.parquet(f"{tmp_path}/docs"), chunk_bytes=600, hot=hot).collect()
+        chunks, groups = made["chunks"].count(), made["chunks"].selectExpr("shiftright(chunk, 4)").distinct().count()
+        sent = {name: df.count() for name, df in made.items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert sorted((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == sorted(spans(rows).values())
+    assert chunks > 150 and groups < 30
+    assert sent["repeated"] <= 3 * groups and sent["contexts"] <= 4 * groups and sent["sorted"] <= 3 * (groups + 3)
+
+
+def test_merged_heads():
+    kind = [("w", "S3"), ("chunk", "<i8"), ("at", "<i4")]
+    rng = np.random.default_rng(3)
+    lists = []
+    for k in range(2):
+        w = np.unique(rng.integers(97, 101, (30, 3), dtype=np.uint8), axis=0)
+        one = np.zeros(len(w), kind)
+        one["w"], one["chunk"], one["at"] = np.ascontiguousarray(w).view("S3")[:, 0], rng.integers(0, 3, len(w)), 2 * rng.integers(0, 50, len(w)) + k
+        lists.append(one)
+    for a, b in (lists, lists[::-1], (lists[0], lists[0][:0]), (lists[0][:0], lists[1])):
+        merged, later = suffix_dedup.merge_sorted(a, b)
+        every = sorted(x.tolist() for x in np.concatenate([a, b]))
+        first = {x[0]: x for x in reversed(every)}
+        assert [x.tolist() for x in merged] == sorted(first.values())
+        assert sorted(x.tolist() for x in later) == [x for x in every if first[x[0]] != x]
+
+
 def test_suffix_ranks_and_prefixes():
     rng = np.random.default_rng(4)
     text = rng.integers(0, 3, 400).astype(np.int32)
