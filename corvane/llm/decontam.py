@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import store
+from corvane.llm.encoding import forget
+from corvane.llm.scratch import give_back, store
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -38,6 +39,17 @@ def sorted_items(items: Iterable[str | None]) -> list[str | None]:
     return sorted(items, key=lambda x: (x is None, x or ""))
 
 
+class Terms(dict):
+    """Words to numbers; a new word gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 class Segment:
     """Positional postings of some documents."""
 
@@ -46,14 +58,18 @@ class Segment:
         self.starts = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int64)
 
     @classmethod
-    def build(cls, docs: list[list[bytes]]) -> Segment:
-        ids: dict[bytes, int] = {}
-        flat = np.array([ids.setdefault(w, len(ids)) for ws in docs for w in ws], dtype=np.int32)
-        lengths = np.array([len(ws) for ws in docs], dtype=np.int64)
-        place = np.arange(len(flat)) + np.repeat(np.arange(len(docs)), lengths)
+    def build(cls, docs: Iterable[list[bytes]]) -> Segment:
+        terms = Terms()
+        return cls.of(terms, [terms.numbers(ws) for ws in docs])
+
+    @classmethod
+    def of(cls, terms: Terms, docs: list[np.ndarray]) -> Segment:
+        """Of documents given as the numbers that ``terms`` has for their words."""
+        flat = np.concatenate([np.zeros(0, np.int32), *docs])
+        lengths = np.array([len(x) for x in docs], dtype=np.int64)
         order = np.argsort(flat, kind="stable")
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(ids)))])
-        return cls(lengths, list(ids), offsets, place[order])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(terms)))])
+        return cls(lengths, list(terms), offsets, order + np.repeat(np.arange(len(docs)), lengths)[order])
 
     def listed(self) -> np.ndarray:
         """All postings as one ascending sequence of (term, position) in one number, so that many lists are searched at once."""
@@ -162,8 +178,31 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seg
     Arrow stream), so that what is found need not be joined with the table again.
     """
 
-    def row(ids: list, docs_words: list[list[bytes]], kind: pa.DataType, number: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        seg = Segment.build(docs_words)
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = docs.columns if with_rows else [id_col, text]
+    places = names.index(id_col), names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        return index_rows(batches, places, segment_bytes, with_rows, TaskContext.get().partitionId() << 32)
+
+    schema = f"segment bigint, ids array<{kind}>, lengths array<bigint>, terms binary, offsets binary, positions binary" + ", stored binary" * with_rows
+    return store(docs.select(F.struct(*[F.col(f"`{c}`").alias(c if with_rows else f"_{k}") for k, c in enumerate(names)]).alias("row")).mapInArrow(run, schema), "postings")
+
+
+def index_rows(batches: Iterable[pa.RecordBatch], places: tuple[int, int], segment_bytes: int, with_rows: bool, number: int = 0) -> Iterator[pa.RecordBatch]:
+    """Index rows of one partition, numbered from ``number``; ``places`` tells the id and the text among the fields of the batches' only column.
+
+    A worker holds numbers of the words of a segment, and the words of one document. It
+    is used again by stage after stage, so it first drops the encoder of an earlier one,
+    and gives its free memory back after each segment.
+    """
+    forget()
+    terms, ids, held, rows, size, kind = Terms(), [], [], [], 0, pa.int64()
+
+    def row() -> pa.RecordBatch:
+        seg = Segment.of(terms, held)
         columns = [
             pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([seg.lengths.tolist()], pa.list_(pa.int64())), pa.array([b"\n".join(seg.terms)], pa.binary()),
             pa.array([seg.offsets.astype("<u4").tobytes()], pa.binary()), pa.array([seg.positions.astype("<u4").tobytes()], pa.binary()),
@@ -173,43 +212,37 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seg
             columns, names = [*columns, pa.array([to_stream(rows)], pa.binary())], [*names, "stored"]
         return pa.record_batch(columns, names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        ids, held, rows, size, kind = [], [], [], 0, pa.int64()
-        for batch in batches:
-            kind, first = batch.column(0).type, 0
-            for k, (key, text) in enumerate(zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True)):
-                raw = text.as_py()
-                ids.append(key.as_py())
-                held.append(words_of(raw))
-                size += len(raw or b"") + 64
-                if size >= segment_bytes:
-                    rows.append(batch.slice(first, k + 1 - first))
-                    yield row(ids, held, kind, number, rows)
-                    ids, held, rows, size, number, first = [], [], [], 0, number + 1, k + 1
-            if first < batch.num_rows and with_rows:
-                rows.append(batch.slice(first))
-        if ids:
-            yield row(ids, held, kind, number, rows)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = [F.col(f"`{id_col}`"), F.col(f"`{text}`"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns])] if with_rows else [])]
-    schema = f"segment bigint, ids array<{kind}>, lengths array<bigint>, terms binary, offsets binary, positions binary" + ", stored binary" * with_rows
-    return store(docs.select(*[c.alias(f"_{k}") for k, c in enumerate(columns)]).mapInArrow(run, schema), "postings")
+    for batch in batches:
+        keys, texts = (batch.column(0).field(k) for k in places)
+        kind, first = keys.type, 0
+        for k, (key, text) in enumerate(zip(keys, texts.cast(pa.large_binary()), strict=True)):
+            raw = text.as_py()
+            ids.append(key.as_py())
+            held.append(terms.numbers(words_of(raw)))
+            size += len(raw or b"") + 64
+            if size >= segment_bytes:
+                rows.append(batch.slice(first, k + 1 - first))
+                yield row()
+                terms, ids, held, rows, size, number, first = Terms(), [], [], [], 0, number + 1, k + 1
+                give_back()
+        if first < batch.num_rows and with_rows:
+            rows.append(batch.slice(first))
+    if ids:
+        yield row()
+    del terms, ids, held, rows
+    give_back()
 
 
 def to_stream(rows: list[pa.RecordBatch]) -> bytes:
-    """The whole rows (third column) of some batches, as a compressed Arrow stream."""
+    """The whole rows (the only column) of some batches, as a compressed Arrow stream."""
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, pa.schema([("row", rows[0].column(2).type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, pa.schema([("row", rows[0].column(0).type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         for batch in rows:
-            out.write_batch(pa.record_batch([batch.column(2)], names=["row"]))
+            out.write_batch(pa.record_batch([batch.column(0)], names=["row"]))
     return sink.getvalue()
 
 
-def from_stream(raw: bytes) -> Iterator[pa.StructArray]:
+def from_stream(raw: bytes | pa.Buffer) -> Iterator[pa.StructArray]:
     with pa.ipc.open_stream(raw) as given:
         for batch in given:
             yield batch.column(0)
@@ -384,13 +417,15 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
                 if block is not None:
                     seg = segment_of(batch, k)
                     gone = [p for p, (runs, _) in hits_of(seg, block).items() if leaves(runs, int(seg.lengths[p]), window)]
+                    del seg
                 else:
                     gone = batch.column("gone")[k].as_py() or []
                 keep = np.ones(len(batch.column("ids")[k].values), bool)
                 keep[np.array(gone, np.int64)] = False
                 at = 0
-                for rows in from_stream(batch.column("stored")[k].as_py()):
+                for rows in from_stream(batch.column("stored")[k].as_buffer()):
                     yield pa.RecordBatch.from_arrays(rows.filter(pa.array(keep[at : at + len(rows)])).flatten(), names=[f.name for f in rows.type])
                     at += len(rows)
+                give_back()
 
     return held.mapInArrow(run, docs.schema)

@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from corvane.llm.scratch import give_back
+
 SPACES = "\t-\r \x85\xa0  -     　"
 #: A run of letters that every version of the word pattern knows is a unit of it if a white space follows, or one stop and
 #: then a white space; the stop is a unit too. A unit needs the merges only. All else is encoded in longer pieces.
@@ -161,6 +163,14 @@ def encoder(path: str) -> PieceEncoder | WholeEncoder:
     return kept[path]
 
 
+def forget() -> None:
+    """Drop the encoders that a worker process has kept; a task that needs one again makes it anew."""
+    import sys
+
+    if vars(sys.modules.get("tokenizers", sys)).pop("_corvane_encoders", None):
+        give_back()
+
+
 def blocks(texts: list[str], chars: int = 4_000_000):
     """Index ranges of ``texts`` of about ``chars`` characters each."""
     first = size = 0

@@ -7,6 +7,7 @@ without that setting (tests) gets a folder of its own.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import threading
@@ -80,3 +81,13 @@ def free_shuffles(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def give_back() -> None:
+    """Return free memory of a Python worker, which later stages use again, to the system; where the C library cannot, Arrow's alone."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

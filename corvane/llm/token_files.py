@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.encoding import blocks, encoder
+from corvane.llm.encoding import blocks, encoder, forget
 from corvane.llm.scratch import new_path
 from corvane.llm.tables import fewer_files, parts_for
 
@@ -140,6 +140,7 @@ def read_documents(spark, path: str, with_tokens: bool = False) -> DataFrame:
     segments = read_files(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # all texts have been encoded
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)

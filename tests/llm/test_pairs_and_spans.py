@@ -332,3 +332,27 @@ def test_proximity_over_the_stored_index(spark, segment_bytes):
     found = decontam.search_near(index, "A b, c", 2).collect()
     assert sorted(((r.id, r.positions) for r in found), key=str) == sorted(want, key=str) and want
     assert decontam.search_near(index, "a zzz", 2).count() == decontam.search_near(index, "", 2).count() == 0
+
+
+def test_an_indexing_worker_holds_numbers_and_no_encoder():
+    """A segment's words are not held one by one, and what an earlier stage's encoder keeps in the worker is dropped first."""
+    import sys
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corvane.llm.encoding import encoder
+    from corvane.llm.queries import vocabulary
+
+    encoder(vocabulary()).encode(["some words"])
+    texts = [" ".join(f"w{(k * 37 + j) % 5000}" for j in range(1000)) for k in range(300)]
+    rows = pa.StructArray.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    found = list(decontam.index_rows([pa.record_batch([rows], names=["row"])], (0, 1), 1 << 30, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14_000_000  # the words alone, as bytes in lists, are 300,000 times 46 bytes at least
+    assert not vars(sys.modules["tokenizers"]).get("_corvane_encoders")
+    seg, want = decontam.segment_of(found[0], 0), decontam.Segment.build([decontam.words_of(t.encode()) for t in texts])
+    assert len(found) == 1 and seg.terms == want.terms and (seg.positions == want.positions).all() and (seg.lengths == want.lengths).all()
+    assert [r for part in decontam.from_stream(found[0].column("stored")[0].as_py()) for r in part.field(1).to_pylist()] == texts
