@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.identity import short_hash
-from corvane.functions.text import safe_score, strip_end
+from corvane.functions.text import SPACE_CHARS, safe_score, strip_end
 
 
 def collapse_equal(hits: DataFrame, limit: int | None = None) -> DataFrame:
@@ -81,13 +81,13 @@ def location_label(section: Column, sheet: Column | None = None, slide: Column |
     )
 
 
-def pack_context(hits: DataFrame, max_snippets: int, budget: int | None, chars_per_token: int = 4) -> DataFrame:
+def pack_context(hits: DataFrame, max_snippets: int, budget: int | None, chars_per_token: int = 4, space: str = SPACE_CHARS) -> DataFrame:
     """One row a query: snippets within a budget, as an ordered fold.
 
     ``hits``: qid, rank, dedupe_key, header, text. Snippets are joined by two
     characters, a header and its text by one; a later hit of a known key is dropped;
-    the last snippet that fits in part is cut, and white space at its end goes, which
-    may leave room for the next. Returns snippets (array of rank, header, text,
+    the last snippet that fits in part is cut, and white space at its end (the characters
+    of ``space``) goes, which may leave room for the next. Returns snippets (array of rank, header, text,
     truncated, char_count, token_estimate), dropped, truncated, char_count, token_estimate.
     """
     snippet = "struct<rank:int,header:string,text:string,truncated:boolean,char_count:int,token_estimate:int,key:string>"
@@ -102,7 +102,7 @@ def pack_context(hits: DataFrame, max_snippets: int, budget: int | None, chars_p
         room = acc["left"] - sep - F.length(r["header"]) - 1
         stop = ~known & (full | (acc["left"] <= sep) | (room <= 0))
         short = F.length(r["text"]) > room
-        text = F.when(short, strip_end(F.left(r["text"], room))).otherwise(r["text"])
+        text = F.when(short, F.rtrim(F.left(r["text"], room), F.lit(space))).otherwise(r["text"])
         size = F.length(r["header"]) + 1 + F.length(text)
         new = F.struct((n + 1).alias("rank"), r["header"].alias("header"), text.alias("text"), short.alias("truncated"), size.alias("char_count"), F.ceil(size / chars_per_token).cast("int").alias("token_estimate"), r["dedupe_key"].alias("key"))
         skip = known | stop

@@ -116,6 +116,26 @@ def test_packing_frees_stripped_characters(spark):
     assert assemble.pack_context(h, 1, None).first().dropped == 2
 
 
+def test_packing_strips_the_stated_white_space(spark):
+    h = spark.createDataFrame([(1, 1, "k1", "[a]", "xxxxx\n  y" + "z" * 20)], "qid int, rank int, dedupe_key string, header string, text string")
+    assert [s.text for s in assemble.pack_context(h, 5, 12).first().snippets] == ["xxxxx"]
+    assert [s.text for s in assemble.pack_context(h, 5, 12, space=" ").first().snippets] == ["xxxxx\n"]
+
+
+def test_packing_query_keeps_a_line_end_at_the_cut_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from corvane import catalog
+
+    rows = [(1, 0, "user", "a" * 590 + "\n" + "b" * 50), (1, 1, "user", "more"), (2, 0, "user", "c" * 590 + "\u3000" + "d" * 50)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["ctx03_pack_context"]).fetchall()
+    assert sorted(map(tuple, catalog.ctx03_pack_context(spark, str(tmp_path)).collect())) == sorted(want)
+    assert {w[0]: w[4] for w in want} == {1: 600, 2: 599}
+
+
 def test_expanded_text(spark):
     f = lambda b, t, a, n: spark.range(1).select(assemble.expanded_text(F.lit(b), F.lit(t), F.lit(a), F.lit(n)).alias("r")).first().r
     assert f("before", "body", "after", 100) == "before\n\nbody\n\nafter"
