@@ -1,9 +1,9 @@
 """Lexical sidecar: exact, phrase and trigram matches over a record's fields.
 
 A field equal to the query scores 1.0, one that holds it as a phrase 0.9, any other
-the Jaccard of its trigrams if that reaches the threshold. A block of queries is an
-inverted index of trigrams in each task; a batch of records counts the trigrams that
-its fields share with all queries of the block, and keeps its own best of each query.
+the Jaccard of its trigrams if that reaches the threshold. A block of distinct queries
+is an inverted index of trigrams in each task; a task counts the trigrams that a value
+shares with all queries of the block once, and keeps its own best of each query.
 Records are read once a block and only these best are shuffled.
 """
 
@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import lexical_form
-from corvane.operators.retrieve import query_blocks
+from corvane.operators.retrieve import Best, query_blocks
 
 FIELDS = ("title", "section_title", "section_path", "document_path", "text")
 
@@ -28,59 +27,101 @@ def trigram_set(value: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
-def _matches(values: list[str], needles: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(value, needle, score, is it exact) of all that match."""
-    index: dict[str, list[int]] = {}
-    sizes = np.zeros(len(needles), np.int64)
-    for n, needle in enumerate(needles):
-        found = trigram_set(needle)
-        sizes[n] = len(found)
-        for t in found:
-            index.setdefault(t, []).append(n)
-    lists = {t: np.array(v, np.int64) for t, v in index.items()}
-    none = np.zeros(0, np.int64)
-    out: list[tuple[int, int, float, bool]] = []
-    for v, value in enumerate(values):
+class _Needles:
+    """Distinct queries with an inverted index of their trigrams."""
+
+    #: Matches that a task remembers by value.
+    REMEMBERED = 1_000_000
+
+    def __init__(self, needles: list[str], threshold: float) -> None:
+        self.needles, self.threshold = needles, threshold
+        index: dict[str, list[int]] = {}
+        self.sizes = np.zeros(len(needles), np.int64)
+        for n, needle in enumerate(needles):
+            found = trigram_set(needle)
+            self.sizes[n] = len(found)
+            for t in found:
+                index.setdefault(t, []).append(n)
+        self.lists = {t: np.array(v, np.int64) for t, v in index.items()}
+        self.seen: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.held = 0
+
+    def matches(self, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(needle, score, is it exact) of all that match; a value that comes again is looked up."""
+        if value in self.seen:
+            return self.seen[value]
         own = trigram_set(value)
-        held = [lists[t] for t in own if t in lists]
-        shared = np.bincount(np.concatenate(held) if held else none, minlength=len(needles))
-        near = np.round(shared / (sizes + len(own) - shared), 9)
-        # a phrase or an equal field holds all of the query's trigrams but the four at its ends
-        for n in np.flatnonzero((near >= threshold) | (shared >= np.maximum(sizes - 4, 1))).tolist():
-            if value == needles[n]:
-                out.append((v, n, 1.0, True))
-            elif f" {needles[n]} " in f" {value} ":
-                out.append((v, n, 0.9, True))
-            elif near[n] >= threshold:
-                out.append((v, n, float(near[n]), False))
-    v, n, score, exact = zip(*out, strict=True) if out else ((), (), (), ())
-    return np.array(v, np.int64), np.array(n, np.int64), np.array(score, np.float64), np.array(exact, bool)
+        held = [self.lists[t] for t in own if t in self.lists]
+        out: list[tuple[int, float, bool]] = []
+        if held:
+            shared = np.bincount(np.concatenate(held), minlength=len(self.needles))
+            near = np.round(shared / (self.sizes + len(own) - shared), 9)
+            # a phrase or an equal field holds all of the query's trigrams but the four at its ends
+            for n in np.flatnonzero((near >= self.threshold) | (shared >= np.maximum(self.sizes - 4, 1))).tolist():
+                if value == self.needles[n]:
+                    out.append((n, 1.0, True))
+                elif f" {self.needles[n]} " in f" {value} ":
+                    out.append((n, 0.9, True))
+                elif near[n] >= self.threshold:
+                    out.append((n, float(near[n]), False))
+        n, score, exact = zip(*out, strict=True) if out else ((), (), ())
+        found = np.array(n, np.int64), np.array(score, np.float64), np.array(exact, bool)
+        if self.held > self.REMEMBERED:
+            self.seen, self.held = {}, 0
+        self.seen[value] = found
+        self.held += len(out) + 10
+        return found
 
 
 def sidecar_topk(queries: DataFrame, records: DataFrame, k: int, fields: Sequence[str] = FIELDS, threshold: float = 0.35, block_queries: int = 20_000) -> DataFrame:
-    """``queries``: qid, query; ``records``: id and ``fields`` -> qid, id, score, field, strategy, rank."""
-    q = queries.select("qid", lexical_form(F.col("query")).alias("needle")).filter("needle <> ''").orderBy("qid")
-    values = F.filter(F.array(*[F.struct(F.lit(n).alias("place"), F.lit(f).alias("field"), lexical_form(F.col(f)).alias("value")) for n, f in enumerate(fields) if f in records.columns]), lambda v: v["value"] != "")
-    r = records.select("id", F.explode(values).alias("v")).select("id", "v.place", "v.field", "v.value")
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {records.schema['id'].dataType.simpleString()}, place int, field string, score double, exact boolean"
-    kind = to_arrow_type(queries.schema["qid"].dataType)
-    found = None
-    for block in query_blocks(q, block_queries):
-        names, needles = [x[0] for x in block], [x[1] for x in block]
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, needles=needles) -> Iterator[pa.RecordBatch]:
+    """``queries``: qid, query; ``records``: id and ``fields`` -> qid, id, score, field, strategy, rank.
+
+    Equal queries are answered once, equal fields matched once a task; each task sends
+    the best ``k`` of a distinct query.
+    """
+    q = queries.select("qid", lexical_form(F.col("query")).alias("needle")).filter("needle <> ''")
+    present = [f for f in fields if f in records.columns]
+    r = records.select("id", *[lexical_form(F.col(f)).alias(f"v{n}") for n, f in enumerate(present)])
+    schema = f"needle string, id {records.schema['id'].dataType.simpleString()}, place int, score double, exact boolean"
+    found, blocks = None, 0
+    for block in query_blocks(q.select("needle").distinct().orderBy("needle"), block_queries):
+        needles = [x[0] for x in block]
+
+        def run(batches: Iterator[pa.RecordBatch], needles=needles) -> Iterator[pa.RecordBatch]:
+            index, best = _Needles(needles, threshold), Best(len(needles), k)
             for batch in batches:
-                v, n, score, exact = _matches(batch.column(3).to_pylist(), needles, threshold)
-                at = pa.array(v)
-                yield pa.record_batch([pa.array([names[x] for x in n.tolist()], kind), *[batch.column(c).take(at) for c in range(3)], pa.array(score), pa.array(exact)], names=["qid", "id", "place", "field", "score", "exact"])
+                for place in range(len(present)):
+                    values = batch.column(1 + place).dictionary_encode()
+                    hits = [index.matches(v) if v else None for v in values.dictionary.to_pylist()]
+                    code = values.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                    order = np.argsort(code, kind="stable")
+                    bounds = np.searchsorted(code[order], np.arange(len(hits) + 1))
+                    rows, number, score, exact = [], [], [], []
+                    for c, hit in enumerate(hits):
+                        if hit is None:
+                            continue
+                        can = np.flatnonzero(hit[1] >= best.floor[hit[0]])
+                        own = order[bounds[c] : bounds[c + 1]]
+                        rows.append(np.repeat(own, len(can)))
+                        for into, x in ((number, hit[0]), (score, hit[1]), (exact, hit[2])):
+                            into.append(np.tile(x[can], len(own)))
+                    if rows:
+                        at = np.concatenate(rows)
+                        best.add(np.concatenate(number), np.concatenate(score), batch.column(0).take(pa.array(at)), place=pa.array(np.full(len(at), place, np.int32)), exact=pa.array(np.concatenate(exact)))
+            for b in best.rows():
+                yield pa.record_batch([pa.array([needles[n] for n in b["n"].to_pylist()], pa.string()), b["id"], b["place"], b["score"], b["exact"]], names=["needle", "id", "place", "score", "exact"])
 
         part = r.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+        found, blocks = part if found is None else found.unionByName(part), blocks + 1
     if found is None:
         found = r.sparkSession.createDataFrame([], schema)
-    best = found.groupBy("qid", "id").agg(F.max_by(F.struct("field", "exact"), F.struct("score", -F.col("place"))).alias("b"), F.max("score").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "score", "b.field", F.when(F.col("b.exact"), "exact").otherwise("trigram").alias("strategy"), "rank")
+    best = found.groupBy("needle", "id").agg(F.max_by(F.struct("place", "exact"), F.struct("score", -F.col("place"))).alias("b"), F.max("score").alias("score"))
+    order = Window.partitionBy("needle").orderBy(F.desc("score"), "id")
+    top = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = top.groupBy("needle").agg(F.collect_list(F.struct("id", "score", "b", "rank")).alias("t"))
+    field = F.element_at(F.array(*[F.lit(f) for f in present]), F.col("t.b.place") + 1) if present else F.lit(None).cast("string")
+    each = q.join(F.broadcast(top) if blocks == 1 else top, "needle").select("qid", F.explode("t").alias("t"))
+    return each.select("qid", "t.id", "t.score", field.alias("field"), F.when(F.col("t.b.exact"), "exact").otherwise("trigram").alias("strategy"), "t.rank")
 
 
 def bounded_records(records: DataFrame, order: str, text_bytes: str, max_entries: int = 100_000, max_bytes: int = 256 << 20, scope: str = "collection") -> DataFrame:

@@ -367,3 +367,34 @@ def test_sinks(spark, tmp_path, caplog):
     assert lines == sorted(held) == ['{"event_type":"a","n":1}', '{"event_type":"b","n":2}'] and "secret" not in caplog.text and '"n":2' in caplog.text
     with pytest.raises(ValueError):
         sinks.buffered(deque())
+
+
+def test_best_keeps_k_rows_of_a_query_however_many_are_added():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    best, rows = retrieve.Best(5, 3), {}
+    for _ in range(6):
+        n, score, ids = rng.integers(0, 4, 100_000), rng.integers(0, 200, 100_000) / 10, rng.integers(0, 3000, 100_000)
+        best.add(n, score, pa.array(ids))
+        for key, v in zip(zip(n.tolist(), ids.tolist(), strict=True), score.tolist(), strict=True):
+            rows[key] = max(v, rows.get(key, -1.0))
+    want = [(n, *x) for n in range(4) for x in sorted((-v, i) for (m, i), v in rows.items() if m == n)[:3]]
+    found = pa.Table.from_batches(best.rows())
+    assert [(r["n"], -r["score"], r["id"]) for r in found.to_pylist()] == want
+    assert best.floor[4] == -np.inf and best._rows == 12
+
+
+def test_sidecar_answers_equal_queries_once(spark, monkeypatch):
+    from corvane.operators import lexical
+
+    asked = []
+    monkeypatch.setattr(lexical, "query_blocks", lambda rows, most: [asked.append(rows.collect()) or asked[-1]])
+    q = spark.createDataFrame([(n, "Red  ring" if n % 2 else "blue bolt") for n in range(40)] + [(99, " ")], "qid int, query string")
+    r = spark.createDataFrame([(f"r{n % 70:02d}", ("red ring", "a blue bolt", "red rings", None)[n % 4], "red ring" if n % 10 == 2 else None) for n in range(140)], "id string, title string, text string")
+    found = lexical.sidecar_topk(q, r, 3).orderBy("qid", "rank").collect()
+    assert [x.needle for x in asked[0]] == ["blue bolt", "red ring"]
+    assert {x.qid for x in found} == set(range(40))
+    assert [(x.id, x.score, x.field, x.strategy) for x in found if x.qid == 1] == [("r00", 1.0, "title", "exact"), ("r02", 1.0, "title", "exact"), ("r04", 1.0, "title", "exact")]
+    assert [(x.id, x.score, x.strategy, x["rank"]) for x in found if x.qid == 2] == [("r01", 0.9, "exact", 1), ("r03", 0.9, "exact", 2), ("r05", 0.9, "exact", 3)]
