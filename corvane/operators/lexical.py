@@ -88,7 +88,7 @@ def sidecar_topk(queries: DataFrame, records: DataFrame, k: int, fields: Sequenc
         needles = [x[0] for x in block]
 
         def run(batches: Iterator[pa.RecordBatch], needles=needles) -> Iterator[pa.RecordBatch]:
-            index, best = _Needles(needles, threshold), Best(len(needles), k)
+            index, best = _Needles(needles, threshold), Best(len(needles), k, once=True)
             for batch in batches:
                 for place in range(len(present)):
                     values = batch.column(1 + place).dictionary_encode()

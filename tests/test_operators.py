@@ -374,7 +374,7 @@ def test_best_keeps_k_rows_of_a_query_however_many_are_added():
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    best, rows = retrieve.Best(5, 3), {}
+    best, rows = retrieve.Best(5, 3, once=True), {}
     for _ in range(6):
         n, score, ids = rng.integers(0, 4, 100_000), rng.integers(0, 200, 100_000) / 10, rng.integers(0, 3000, 100_000)
         best.add(n, score, pa.array(ids))
@@ -398,3 +398,20 @@ def test_sidecar_answers_equal_queries_once(spark, monkeypatch):
     assert {x.qid for x in found} == set(range(40))
     assert [(x.id, x.score, x.field, x.strategy) for x in found if x.qid == 1] == [("r00", 1.0, "title", "exact"), ("r02", 1.0, "title", "exact"), ("r04", 1.0, "title", "exact")]
     assert [(x.id, x.score, x.strategy, x["rank"]) for x in found if x.qid == 2] == [("r01", 0.9, "exact", 1), ("r03", 0.9, "exact", 2), ("r05", 0.9, "exact", 3)]
+
+
+def test_dense_topk_sends_k_rows_of_a_query_from_a_task_and_keeps_repeated_ids(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "BATCH_SCORES", 64)
+    sent = []
+    ranked = retrieve.ranked
+    monkeypatch.setattr(retrieve, "ranked", lambda rows, *a: sent.append(rows.count()) or ranked(rows, *a))
+    x = np.random.default_rng(2).normal(size=(400, 4))
+    p = spark.createDataFrame([(n // 2, [float(v) for v in r]) for n, r in enumerate(x)], "id int, vec array<double>").coalesce(1)
+    q = spark.createDataFrame([(n, [float(v) for v in x[n]]) for n in range(8)], "qid int, qvec array<double>")
+    found = retrieve.dense_topk(q, p, 5).collect()
+    assert sent == [8 * 5]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {n: [i for _, i in sorted((-round(float(s), 6), k // 2) for k, s in enumerate(unit @ unit[n]))[:5]] for n in range(8)}
+    assert {n: [r.id for r in sorted((r for r in found if r.qid == n), key=lambda r: r["rank"])] for n in range(8)} == want
