@@ -1,6 +1,6 @@
 """Chunkers. A chunk is a verbatim slice of its text, with its offsets.
 
-Greedy packing is sequential within a text, so it runs as ``mapInPandas`` over rows:
+Greedy packing is sequential within a text, so it runs as ``mapInArrow`` over rows:
 texts are never gathered. Fixed windows, routing, passages and semantic boundaries
 are expressions.
 """
@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +30,9 @@ LANGUAGES = {
 #: A line that starts a top-level unit of code.
 UNIT = re.compile(r"(?:@\w|(?:export\s+|public\s+|private\s+|static\s+|async\s+|pub\s+)*(?:def|class|function|func|fn|interface|struct|enum|impl|trait|module|type)\b)")
 
+#: Characters of chunks (and so many for each of their rows) that a task holds before it hands them on.
+OUT_CHARS = 2_000_000
+
 
 @dataclass(frozen=True)
 class Config:
@@ -220,20 +223,36 @@ def register_strategy(name: str, chunker: Callable[[str, Config], list[dict]]) -
 
 
 def chunk(docs: DataFrame, strategy: str, cfg: Config = Config(), id_col: str = "document_id", text: str = "text") -> DataFrame:
-    """(document_id, chunk_index, text, start_char, end_char, token_count, word_count, section_path); null texts have no chunk."""
-    cut = STRATEGIES[strategy]
+    """(document_id, chunk_index, text, start_char, end_char, token_count, word_count, section_path); null texts have no chunk.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, body in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
+    Texts are taken one by one, and chunks handed on whenever they make ``OUT_CHARS``.
+    """
+    cut = STRATEGIES[strategy]
+    kind = docs.schema[id_col].dataType
+    names = ["document_id", "chunk_index", "text", "start_char", "end_char", "token_count", "word_count", "section_path"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def made(keys: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+        return pa.record_batch([keys.take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            at, rows, held = [], [], 0
+            for i in range(batch.num_rows):
+                body = texts[i].as_py()
                 for n, c in enumerate(cut(body, cfg)):
                     t = body[c["start_char"] : c["end_char"]]
-                    rows.append((key, n, t, c["start_char"], c["end_char"], tokens(t), len(t.split()), c["section_path"]))
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "text", "start_char", "end_char", "token_count", "word_count", "section_path"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.filter(F.col(text).isNotNull()).select(id_col, text).mapInPandas(run, f"document_id {kind}, chunk_index int, text string, start_char int, end_char int, token_count int, word_count int, section_path string")
+                    at.append(i)
+                    rows.append((n, t, c["start_char"], c["end_char"], tokens(t), len(t.split()), c["section_path"]))
+                    held += len(t) + 500
+                    if held >= OUT_CHARS:
+                        yield made(keys, at, rows)
+                        at, rows, held = [], [], 0
+            yield made(keys, at, rows)
+
+    return docs.filter(F.col(text).isNotNull()).select(id_col, text).mapInArrow(run, f"document_id {kind.simpleString()}, chunk_index int, text string, start_char int, end_char int, token_count int, word_count int, section_path string")
 
 
 def fixed_windows(docs: DataFrame, size: int, stride: int, id_col: str = "document_id", text: str = "text") -> DataFrame:

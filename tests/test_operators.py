@@ -438,3 +438,19 @@ def test_sparse_topk_keeps_negative_scores_and_drops_zeros(spark):
     p = spark.createDataFrame([("a", 5, 1.0), ("a", 7, -1.0), ("b", 7, 2.0), ("c", 5, 3.0), ("c", 8, 9.0), ("d", 5, 1e-9)], "id string, idx int, val double")
     found = [(r.qid, r.id, r.score) for r in retrieve.sparse_topk(q, p, 2).orderBy("qid", "rank").collect()]
     assert found == [(1, "c", 3.0), (1, "b", 2.0), (2, "a", 2.0), (2, "b", -4.0)]
+
+
+def test_chunks_are_handed_on_in_bounded_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    taken = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: taken.append(run))
+    chunking.chunk(spark.createDataFrame([(1, "x")], "document_id long, text string"), "semantic_heuristic")
+    body = "One sentence of words. " * 300
+    batch = pa.record_batch([pa.array(range(2000)), pa.array([body] * 2000)], names=["document_id", "text"])
+    pieces = list(taken[0](iter([batch])))
+    assert max(p.nbytes for p in pieces) < 3 * chunking.OUT_CHARS < batch.nbytes
+    found = pa.Table.from_batches(pieces).to_pylist()
+    assert [r["document_id"] for r in found] == sorted(r["document_id"] for r in found) and {r["document_id"] for r in found} == set(range(2000))
+    assert all(r["text"] == body[r["start_char"] : r["end_char"]] for r in found)
+    assert len({tuple(r["chunk_index"] for r in found if r["document_id"] == n) for n in (0, 777, 1999)}) == 1
