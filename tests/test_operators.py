@@ -482,3 +482,13 @@ def test_bm25_reads_documents_without_a_shuffle_of_postings(spark):
     twice = docs.union(docs.filter("id = 5"))  # rows of an id count together
     again = retrieve.bm25_topk(q, twice, 7).collect()
     assert len({(r.qid, r.id) for r in again}) == len(again) == 14
+
+
+def test_delimiter_counts_only_what_the_text_has(spark):
+    texts = ["a,b\nc,d", "a;b,c\nd;e\nf;g", "x|y\n" * 30, "a\tb\nc\td", "no delimiter\nat all", "one,line", "", None]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r.d for r in t.select(convert.delimiter_of(F.col("t")).alias("d")).collect()] == [",", ";", "|", "\t", ",", ",", ",", ","]
+    scores = [r.s for r in t.select(convert.delimiter_score(F.col("t"), ",").alias("s")).collect()]
+    assert scores[0] == 2.0 and scores[2:] == [None] * 6
+    plan = t.select(convert.delimiter_of(F.col("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # the text is cut into lines once, lines are not cut at all
