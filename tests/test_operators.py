@@ -492,3 +492,14 @@ def test_delimiter_counts_only_what_the_text_has(spark):
     assert scores[0] == 2.0 and scores[2:] == [None] * 6
     plan = t.select(convert.delimiter_of(F.col("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1  # the text is cut into lines once, lines are not cut at all
+
+
+def test_reading_order_sorts_in_as_many_tasks_as_there_are_rows_for(spark, monkeypatch):
+    b = spark.range(0, 600).select((F.col("id") % 40).alias("document_id"), F.lit(1).alias("page"), (F.col("id") % 2 * 320 + 10).alias("x0"), F.lit(600.0).alias("page_width"), (F.col("id") * 7 % 100 + F.col("id") / 1000).alias("y0"), F.col("id").alias("n"))
+    b = b.withColumn("x1", F.col("x0") + 250)
+    want = sorted(map(tuple, convert.reading_order(b).select("n", "position").collect()))
+    monkeypatch.setattr(convert, "ROWS_OF_A_TASK", 60)
+    found = convert.reading_order(b)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 10), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, found.select("n", "position").collect())) == want
